@@ -78,6 +78,7 @@ def _byte_table(separators: list[tuple[int, int]]) -> np.ndarray:
     t = np.ones(256, dtype=bool)
     for a, b in separators:
         t[a : b + 1] = False
+    t[65:91] = t[97:123]  # A-Z stand for a-z
     return t
 
 

@@ -1,14 +1,16 @@
 """The registered queries of the training-data operators, and their SQL where there is any."""
 
-from lakeloom.llm import fingerprints, sharding
+from lakeloom.llm import decontaminate, fingerprints, packing, sharding
 
 
 def queries() -> dict:
     return {
         "op1_fingerprints": fingerprints.query,
+        "op5_decontamination": decontaminate.query,
         "op7_sharding": sharding.query,
+        "op10_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op5_decontamination": decontaminate.ORACLE_SQL}
