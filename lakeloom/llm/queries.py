@@ -1,11 +1,12 @@
 """The registered queries of the training-data operators, and their SQL where there is any."""
 
-from lakeloom.llm import decontaminate, fingerprints, packing, sharding
+from lakeloom.llm import decontaminate, fingerprints, packing, pii, sharding
 
 
 def queries() -> dict:
     return {
         "op1_fingerprints": fingerprints.query,
+        "op3_pii": pii.query,
         "op5_decontamination": decontaminate.query,
         "op7_sharding": sharding.query,
         "op10_packing": packing.query,
