@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and their SQL where there is any."""
 
-from lakeloom.llm import decontaminate, fingerprints, langid, neardup, packing, pii, quality, sharding
+from lakeloom.llm import decontaminate, fingerprints, katz, langid, neardup, packing, pii, quality, sharding
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_pii": pii.query,
         "op4_language_id": langid.query,
         "op5_decontamination": decontaminate.query,
+        "op6_katz": katz.query,
         "op7_sharding": sharding.query,
         "op9_quality": quality.query,
         "op10_packing": packing.query,
