@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and their SQL where there is any."""
 
-from lakeloom.llm import decontaminate, fingerprints, katz, langid, neardup, packing, pii, quality, sharding
+from lakeloom.llm import decontaminate, fingerprints, katz, langid, neardup, packing, passages, pii, quality, sharding
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_decontamination": decontaminate.query,
         "op6_katz": katz.query,
         "op7_sharding": sharding.query,
+        "op8_passages": passages.query,
         "op9_quality": quality.query,
         "op10_packing": packing.query,
     }
