@@ -23,6 +23,26 @@ def columns(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds.items()])
 
 
+CARRIED = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+
+
+def with_carried(docs: DataFrame, carry: list[str] | None) -> DataFrame:
+    """The text (as `_text`) and, behind it, the columns that a task hands through."""
+    rows = columns(docs, **{c: CARRIED[c] for c in dict.fromkeys(["text", *(carry or ["doc_id"])])})
+    return rows.select(F.col("text").alias("_text"), *(carry or ["doc_id"]))
+
+
+def carried_schema(docs: DataFrame, carry: list[str] | None, found: str) -> str:
+    return ", ".join([*[f"{c} {CARRIED[c]}" for c in carry or ["doc_id"]], found])
+
+
+def carried(batch, *found, names: list[str]):
+    """A batch of with_carried with its text replaced by what was found, at the end."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([*batch.columns[1:], *found], [*batch.schema.names[1:], *names])
+
+
 def parallelism(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,10 +21,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import PUNCTUATION, Tokens, columns, table
+from lakeloom.llm.common import PUNCTUATION, Tokens, carried, carried_schema, columns, table, with_carried
 
 WINDOW, SHARD_SYMBOLS, BLOCK_WINDOWS, BLOCKS_AT_ONCE, SAMPLE = 10, 1 << 20, 100_000, 8, 16
-FOUND = "doc_id long, text string, n_words long, hits array<struct<a:int,b:int,byte_a:int,byte_b:int>>, items array<string>"
+FOUND = "n_words long, hits array<struct<a:int,b:int,byte_a:int,byte_b:int>>, items array<string>"
 
 
 class Wavelet:
@@ -189,8 +189,8 @@ def search_shard(block: Block, h: np.ndarray, first: np.ndarray):
     return hit, pairs[0], pairs[1]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, text (null unless with_text), n_words, hits (merged spans, as word and byte ranges), items."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: the columns in carry (doc_id, if none are given), n_words, hits (merged spans, as word and byte ranges), items."""
     blocks = window_blocks(item_windows(benchmark, window))
 
     def searched(some):
@@ -199,17 +199,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
             tokens = Tokens(PUNCTUATION)
 
-            def shard(ids, texts, parts):
+            def shard(batch, parts):
                 """parts: (words, start bytes, end bytes, first word of each row) of consecutive blocks of rows."""
                 h, s, e = (np.concatenate([p[k] for p in parts]) for k in range(3))
                 first = np.concatenate([[0], *[p[3][1:] + base for p, base in zip(parts, np.cumsum([0] + [len(p[0]) for p in parts]))]])
-                hit, items = np.zeros(len(h), bool), [set() for _ in ids]
+                hit, items = np.zeros(len(h), bool), [set() for _ in range(batch.num_rows)]
                 for b in some:
                     flags, doc, which = search_shard(b.value, h, first)
                     hit |= flags
                     for d, w in zip(doc.tolist(), which.tolist()):
                         items[d].update(b.value.items[w])
-                spans = [[] for _ in ids]
+                spans = [[] for _ in range(batch.num_rows)]
                 on = hit.copy()
                 on[1:] &= ~hit[:-1]
                 heads = first[:-1][first[:-1] < len(h)]
@@ -221,36 +221,34 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                     d = int(np.searchsorted(first, a, "right")) - 1
                     spans[d].append({"a": a - int(first[d]), "b": z - int(first[d]), "byte_a": int(s[a]), "byte_b": int(e[z - 1])})
                 kind = pa.list_(pa.struct([(k, pa.int32()) for k in ("a", "b", "byte_a", "byte_b")]))
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), texts if with_text else pa.nulls(len(ids), pa.string()), pa.array(np.diff(first), pa.int64()), pa.array(spans, kind), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    ["doc_id", "text", "n_words", "hits", "items"],
-                )
+                found = pa.array(np.diff(first), pa.int64()), pa.array(spans, kind), pa.array([sorted(x) for x in items], pa.list_(pa.string()))
+                return carried(batch, *found, names=["n_words", "hits", "items"])
 
             for b in batches:
-                ids, parts, begin, total = b.column(0).to_pylist(), [], 0, 0
-                for lo, hi, data, off in tokens.blocks(b.column(1)):
+                parts, begin, total = [], 0, 0
+                for lo, hi, data, off in tokens.blocks(b.column(0)):
                     h, s, e, first = tokens.words(data, off)
                     base = np.repeat(off[:-1], np.diff(first))
                     parts.append((h, s - base, e - base, first))
                     total += len(h)
-                    if total >= SHARD_SYMBOLS or hi == len(ids):
-                        yield shard(ids[begin:hi], b.column(1).slice(begin, hi - begin), parts)
+                    if total >= SHARD_SYMBOLS or hi == b.num_rows:
+                        yield shard(b.slice(begin, hi - begin), parts)
                         parts, begin, total = [], hi, 0
 
-        return columns(docs, doc_id="long", text="string").mapInArrow(search, FOUND)
+        return with_carried(docs, carry).mapInArrow(search, carried_schema(docs, carry, FOUND))
 
     passes = [searched(blocks[k : k + BLOCKS_AT_ONCE]) for k in range(0, max(1, len(blocks)), BLOCKS_AT_ONCE)]
     if len(passes) == 1:
         return passes[0]
-    return merged_passes(passes)
+    return merged_passes(passes, carry or ["doc_id"])
 
 
-def merged_passes(passes: list[DataFrame]) -> DataFrame:
+def merged_passes(passes: list[DataFrame], own: list[str]) -> DataFrame:
     """Several passes over the same documents as one: spans merged, items united; equal rows stay as many as they were."""
     every = passes[0].withColumn("pass", F.lit(0))
     for k, p in enumerate(passes[1:], 1):
         every = every.union(p.withColumn("pass", F.lit(k)))
-    grouped = every.groupBy("doc_id", "text", "n_words").agg(
+    grouped = every.groupBy(*own, "n_words").agg(
         F.array_sort(F.flatten(F.collect_set("hits"))).alias("hits"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
         F.sum((F.col("pass") == 0).cast("int")).alias("copies"),
@@ -261,7 +259,7 @@ def merged_passes(passes: list[DataFrame]) -> DataFrame:
         " 'byte_b', greatest(element_at(acc, -1).byte_b, x.byte_b)))) else concat(acc, array(x)) end)"
     )
     grouped = grouped.withColumn("hits", merged).withColumn("_c", F.explode(F.sequence(F.lit(1), "copies")))
-    return grouped.select("doc_id", "text", "n_words", "hits", "items")
+    return grouped.select(*own, "n_words", "hits", "items")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

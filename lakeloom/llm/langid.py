@@ -17,13 +17,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import columns, crc_mod, table
+from lakeloom.llm.common import carried, carried_schema, columns, crc_mod, table, with_carried
 from lakeloom.llm.sampling import labelled_texts
 
 BINS, GRAMS, LANDMARKS = 1 << 15, 4, 64
 TRAIN_DOCUMENTS, TRAIN_BYTES, RIDGE = 2000, 32768, 1e-3
 BLOCK_CHARS, BLOCK_ROWS = 1 << 18, 64
-FOUND = "doc_id long, text string, lang_pred string, score double"
+FOUND = "lang_pred string, score double"
 
 
 def presence(texts: list[str]) -> np.ndarray:
@@ -87,8 +87,8 @@ def fit(samples: list[tuple[str, str]]) -> Model | None:
     return m
 
 
-def identify(docs: DataFrame, lang: str = "lang", with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, text (null unless with_text), lang_pred, score."""
+def identify(docs: DataFrame, lang: str = "lang", carry: list[str] | None = None) -> DataFrame:
+    """One row per document: the columns in carry (doc_id, if none are given), lang_pred, score."""
     rows = columns(docs, doc_id="long", text="string")
     labels = columns(docs, doc_id="long", **{lang: "string"}).where(crc_mod(F.col("doc_id"), 3) != 1)
     model = fit(labelled_texts(rows, labels.select("doc_id", F.col(lang).alias("label")), TRAIN_DOCUMENTS, TRAIN_BYTES))
@@ -103,7 +103,7 @@ def identify(docs: DataFrame, lang: str = "lang", with_text: bool = False) -> Da
             n = b.num_rows
             pred, score = np.full(n, "und", object), np.zeros(n)
             rows, texts, size = [], [], 0
-            for i, x in enumerate(b.column(1)):
+            for i, x in enumerate(b.column(0)):
                 text = x.as_py()
                 if model and text and letter(text):
                     rows.append(i)
@@ -117,9 +117,9 @@ def identify(docs: DataFrame, lang: str = "lang", with_text: bool = False) -> Da
                     rows, texts, size = [], [], 0
             if texts:
                 raise AssertionError("a block was left")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1) if with_text else pa.nulls(n, pa.string()), pa.array(pred.tolist(), pa.string()), pa.array(score)], ["doc_id", "text", "lang_pred", "score"])
+            yield carried(b, pa.array(pred.tolist(), pa.string()), pa.array(score), names=["lang_pred", "score"])
 
-    return rows.mapInArrow(predict, FOUND)
+    return with_carried(docs, carry).mapInArrow(predict, carried_schema(docs, carry, FOUND))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,11 +22,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import columns, table
+from lakeloom.llm.common import carried, carried_schema, columns, table, with_carried
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS, TRAIN_DOCUMENTS, TRAIN_ISLANDS, ISLAND_CHARS = 16, 4000, 300, 200
-FOUND = "doc_id long, text string, base array<struct<kind:string,a:int,b:int>>, added array<struct<kind:string,a:int,b:int>>"
+FOUND = "base array<struct<kind:string,a:int,b:int>>, added array<struct<kind:string,a:int,b:int>>"
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -311,10 +311,9 @@ def training_samples(docs: DataFrame) -> list[tuple[str, str, int, int]]:
     return [(r["s"], r["kind"], r["a"], r["b"]) for r in some[0].union(some[1]).collect()]
 
 
-def find_pii(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, text (null unless with_text), base and added spans in code points."""
-    docs = columns(docs, doc_id="long", text="string")
-    w = fit(training_samples(docs))
+def find_pii(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: the columns in carry (doc_id, if none are given), base and added spans in code points."""
+    w = fit(training_samples(columns(docs, doc_id="long", text="string")))
 
     def find(batches):
         import pyarrow as pa
@@ -323,14 +322,14 @@ def find_pii(docs: DataFrame, with_text: bool = False) -> DataFrame:
         rows = lambda spans: [{"kind": k, "a": a, "b": b} for k, a, b in spans]
         for batch in batches:
             base, added = [], []
-            for x in batch.column(1):
+            for x in batch.column(0):
                 text = x.as_py() or ""
                 own = base_spans(text)
                 base.append(rows(own))
                 added.append(rows(added_spans(text, own, w)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1) if with_text else pa.nulls(len(base), pa.string()), pa.array(base, kind), pa.array(added, kind)], ["doc_id", "text", "base", "added"])
+            yield carried(batch, pa.array(base, kind), pa.array(added, kind), names=["base", "added"])
 
-    return docs.mapInArrow(find, FOUND)
+    return with_carried(docs, carry).mapInArrow(find, carried_schema(docs, carry, FOUND))
 
 
 def digest(spans) -> F.Column:
