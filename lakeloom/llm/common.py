@@ -19,8 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def columns(df: DataFrame, **kinds: str) -> DataFrame:
-    """Only the named columns, cast; columns which the table has besides, clashing names among them, go."""
-    return df.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds.items()])
+    """Only the named columns, cast; columns which the table has besides, clashing names among them, go.
+
+    They are found by exact name and taken by place, so names that differ in case alone don't clash either.
+    """
+    places = {c: i for i, c in reversed(list(enumerate(df.columns)))}
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[F.col(f"c{places[c]}").cast(k).alias(c) for c, k in kinds.items()])
 
 
 CARRIED = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}

@@ -193,6 +193,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """One row per document: the columns in carry (doc_id, if none are given), n_words, hits (merged spans, as word and byte ranges), items."""
     blocks = window_blocks(item_windows(benchmark, window))
 
+    several = len(blocks) > BLOCKS_AT_ONCE
+    own = carry or ["doc_id"]
+    sent = list(dict.fromkeys([*own, "text"])) if several else own
+
     def searched(some):
         def search(batches):
             import pyarrow as pa
@@ -235,20 +239,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                         yield shard(b.slice(begin, hi - begin), parts)
                         parts, begin, total = [], hi, 0
 
-        return with_carried(docs, carry).mapInArrow(search, carried_schema(docs, carry, FOUND))
+        return with_carried(docs, sent).mapInArrow(search, carried_schema(docs, sent, FOUND))
 
     passes = [searched(blocks[k : k + BLOCKS_AT_ONCE]) for k in range(0, max(1, len(blocks)), BLOCKS_AT_ONCE)]
-    if len(passes) == 1:
-        return passes[0]
-    return merged_passes(passes, carry or ["doc_id"])
+    return merged_passes(passes, own) if several else passes[0]
 
 
 def merged_passes(passes: list[DataFrame], own: list[str]) -> DataFrame:
     """Several passes over the same documents as one: spans merged, items united; equal rows stay as many as they were."""
-    every = passes[0].withColumn("pass", F.lit(0))
-    for k, p in enumerate(passes[1:], 1):
-        every = every.union(p.withColumn("pass", F.lit(k)))
-    grouped = every.groupBy(*own, "n_words").agg(
+    parts = [p.select(*own, F.xxhash64("text").alias("same"), "n_words", "hits", "items", F.lit(k).alias("pass")) for k, p in enumerate(passes)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    grouped = every.groupBy(*own, "same", "n_words").agg(
         F.array_sort(F.flatten(F.collect_set("hits"))).alias("hits"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
         F.sum((F.col("pass") == 0).cast("int")).alias("copies"),
