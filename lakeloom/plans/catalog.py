@@ -1,9 +1,13 @@
 """The registered queries of the engine itself."""
 
+from lakeloom.plans import relational
+
+MODULES = [relational]
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.R.functions.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: q for m in MODULES for k, q in m.R.sql.items()}
