@@ -1,8 +1,8 @@
 """The registered queries of the engine itself."""
 
-from lakeloom.plans import relational
+from lakeloom.plans import functions, logs, relational
 
-MODULES = [relational]
+MODULES = [relational, functions, logs]
 
 
 def queries() -> dict:
