@@ -31,26 +31,39 @@ def leaf_sums(text: Column) -> Column:
     return F.transform(paragraphs, lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), lambda x: F.md5(x)))
 
 
-def with_tree(df: DataFrame, text: str, tree: str, leaves: str) -> DataFrame:
-    """Adds the fingerprint of the column text, and its leaves' first eight digits in order."""
-    df = df.withColumn("_l", leaf_sums(F.col(text)))
-    df = df.withColumn("_p", F.transform("_l", lambda x: F.md5(F.array_join(x, ","))))
-    last = F.greatest(F.ceil(F.size("_p") / SECTION).cast("int"), F.lit(1))
-    df = df.withColumn("_s", F.transform(F.sequence(F.lit(1), last), lambda i: F.md5(F.array_join(F.slice(F.col("_p"), (i - 1) * SECTION + 1, F.lit(SECTION)), ","))))
-    short = lambda c: F.transform(c, lambda x: F.substring(x, 1, 8))
-    df = df.withColumn(leaves, short(F.flatten("_l")))
-    root = F.sha2(F.array_join("_s", ","), 256)
-    return df.withColumn(tree, F.concat_ws("|", root, F.array_join(short(F.col("_s")), ","), F.array_join(leaves, ","))).drop("_l", "_p", "_s")
+def fingerprint(text: Column) -> Column:
+    leaves = leaf_sums(text)
+    short = lambda c: F.array_join(F.transform(c, lambda x: F.substring(x, 1, 8)), ",")
 
+    def above(paragraphs: Column) -> Column:
+        nodes = F.transform(paragraphs, lambda x: F.md5(F.array_join(x, ",")))
+        last = F.greatest(F.ceil(F.size(paragraphs) / SECTION).cast("int"), F.lit(1))
+        sections = lambda n: F.transform(F.sequence(F.lit(1), last), lambda i: F.md5(F.array_join(F.slice(n, (i - 1) * SECTION + 1, F.lit(SECTION)), ",")))
+        whole = lambda s: F.concat_ws("|", F.sha2(F.array_join(s, ","), 256), short(s), short(F.flatten(paragraphs)))
+        return bound(bound(nodes, sections), whole)
 
-def root_of(tree: Column) -> Column:
-    return F.substring_index(tree, "|", 1)
+    return bound(leaves, above)
 
 
-def likeness(tree_a: Column, leaves_a: Column, tree_b: Column, leaves_b: Column) -> Column:
-    a, b = F.size(F.array_distinct(leaves_a)), F.size(F.array_distinct(leaves_b))
-    shared = F.size(F.array_intersect(leaves_a, leaves_b))
-    return F.when(root_of(tree_a) == root_of(tree_b), 1.0).when(a + b == 0, 0.0).otherwise(2.0 * shared / (a + b)).cast("double")
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once, where the optimizer would repeat it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def leaves_of(tree: Column) -> Column:
+    return F.array_remove(F.split(F.substring_index(tree, "|", -1), ","), "")
+
+
+def likeness(tree_a: Column, tree_b: Column) -> Column:
+    """From the fingerprints alone: 1 for equal roots, else the Dice ratio of the distinct leaves."""
+
+    def dice(pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        n = F.size(a) + F.size(b)
+        return F.when(n == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / n)
+
+    pair = F.struct(F.array_distinct(leaves_of(tree_a)).alias("a"), F.array_distinct(leaves_of(tree_b)).alias("b"))
+    return F.when(F.substring_index(tree_a, "|", 1) == F.substring_index(tree_b, "|", 1), 1.0).otherwise(bound(pair, dice)).cast("double")
 
 
 def next_ids(ids: DataFrame, parts: int) -> DataFrame:
@@ -73,32 +86,29 @@ def next_ids(ids: DataFrame, parts: int) -> DataFrame:
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
+    """The texts are shuffled once, by id; each then goes to the document before it as a head and a fingerprint."""
     n = parallelism(docs)
     docs = columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    after = next_ids(docs.select("doc_id").where("doc_id is not null").distinct(), n)
-    dealt = with_tree(docs, "text", "fingerprint", "leaves").repartition(n, "doc_id")
-    one = dealt.where("doc_id is not null").withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("_n = 1")
-    want = docs.select("doc_id", F.floor(F.length("text") / 2).alias("half")).where("doc_id is not null").groupBy("doc_id").agg(F.max("half").alias("half"))
-    want = want.join(after, "doc_id").select(F.col("doc_id").alias("for_id"), F.col("next_id").alias("doc_id"), "half")
-    got = one.join(want, "doc_id").select(
-        F.col("for_id").alias("doc_id"),
-        F.substring("text", F.lit(1), F.col("half").cast("int")).alias("head"),
-        root_of(F.col("fingerprint")).alias("next_root"),
-        F.col("leaves").alias("next_leaves"),
-    )
-    both = dealt.join(got, "doc_id", "left")
+    # never null, so that no filter on nulls tells the two uses of the shuffled texts apart; rows without id are spread
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.xxhash64("text").cast("string")))
+    dealt = docs.withColumn("k", key).repartition(n, "k")
+    one = dealt.withColumn("_n", F.row_number().over(W.partitionBy("k").orderBy("doc_id", "text"))).where("_n = 1")
     half = F.floor(F.length("text") / 2).cast("int")
+    after = next_ids(docs.select("doc_id").where("doc_id is not null").distinct(), n)
+    want = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(half).alias("half")).join(after, "doc_id")
+    want = want.select(F.col("doc_id").cast("string").alias("for_k"), F.coalesce(F.col("next_id").cast("string"), F.lit("")).alias("k"), "half")
+    got = one.join(want, "k").select(F.col("for_k").alias("k"), F.substring("text", F.lit(1), F.col("half")).alias("head"), fingerprint(F.col("text")).alias("next_fingerprint"))
+    both = dealt.join(got, "k", "left")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.coalesce("head", F.lit("")), F.lit(1), half))
-    both = with_tree(both.withColumn("edited", edited), "edited", "edited_fingerprint", "edited_leaves")
-    none = F.array().cast("array<string>")
+    both = both.withColumn("edited", edited).withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("edited_fingerprint", fingerprint(F.col("edited")))
     return both.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("leaves"), F.col("edited_fingerprint"), F.col("edited_leaves")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("leaves"), F.coalesce("next_root", F.lit("")), F.coalesce("next_leaves", none)).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.coalesce("next_fingerprint", F.lit(""))).alias("near_next"),
     )
 
 
