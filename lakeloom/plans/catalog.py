@@ -1,8 +1,8 @@
 """The registered queries of the engine itself."""
 
-from lakeloom.plans import functions, logs, relational
+from lakeloom.plans import algebra, functions, logs, relational
 
-MODULES = [relational, functions, logs]
+MODULES = [relational, functions, logs, algebra]
 
 
 def queries() -> dict:

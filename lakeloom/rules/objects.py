@@ -16,7 +16,8 @@ from lakeloom.rules.conditions import key_glob
 def tags(text: Column) -> Column:
     """`k=v&k2=v2`, URL-decoded; empty keys are skipped and the last of equal keys wins."""
     pairs = F.transform(F.split(F.coalesce(text, F.lit("")), "&"), lambda p: F.struct(F.try_url_decode(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), F.try_url_decode(F.regexp_replace(p, "^[^=]*=?", "")).alias("v")))
-    return F.map_from_entries(F.filter(pairs, lambda p: F.coalesce(p["k"] != "", F.lit(False))))
+    later = lambda p, i: F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"])
+    return F.map_from_entries(F.filter(pairs, lambda p, i: F.coalesce(p["k"] != "", F.lit(False)) & ~F.coalesce(later(p, i), F.lit(False))))
 
 
 def tag_filter(have: Column, wanted: dict[str, str]) -> Column:
