@@ -1,8 +1,8 @@
 """The registered queries of the engine itself."""
 
-from lakeloom.plans import algebra, functions, logs, relational
+from lakeloom.plans import algebra, functions, logs, relational, streams
 
-MODULES = [relational, functions, logs, algebra]
+MODULES = [relational, functions, logs, algebra, streams]
 
 
 def queries() -> dict:
