@@ -42,9 +42,10 @@ class WordIds:
     found here and given to the tokenizer's BPE model; all others go through the whole tokenizer.
     """
 
-    def __init__(self, file: str, remember: int = 300_000):
+    def __init__(self, file: str, remember: int = 400_000):
         import os
         import re
+        import struct
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
@@ -52,25 +53,27 @@ class WordIds:
         self.whole = Tokenizer.from_file(file)
         self.whole.encode_special_tokens = True
         self.model, self.remember, self.known, self.words = self.whole.model, remember, {}, {}
-        self.plain = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
+        self.pack = struct.pack
+        self.plain = re.compile(r"[\x09-\x0d\x21-\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
         # fixed by the vocabulary file: how it cuts words
         self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+").findall
         self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def _word(self, w: str) -> bytes:
-        got = self.words.get(w)
-        if got is None:
-            if len(self.words) >= self.remember:
-                self.words.clear()
-            mapped = w if w.isascii() else self.bytes_of(w)[0][0]
-            got = self.words[w] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        if len(self.words) >= self.remember:
+            self.words.clear()
+        mapped = w if w.isascii() else self.bytes_of(w)[0][0]
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        got = self.words[w] = self.pack(f"<{len(ids)}I", *ids)
         return got
 
     def _chunk(self, c: str) -> bytes:
         if self.plain(c):
-            got = b"".join(map(self._word, self.cut(c.lower())))
+            known = self.words.get
+            got = b"".join([known(w) or self._word(w) for w in self.cut(c.lower())])
         else:
-            got = np.array(self.whole.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.whole.encode(c, add_special_tokens=False).ids
+            got = self.pack(f"<{len(ids)}I", *ids)
         if len(c) <= 64:
             if len(self.known) >= self.remember:
                 self.known.clear()
@@ -78,10 +81,10 @@ class WordIds:
         return got
 
     def __call__(self, text: str) -> bytes:
-        known, out = self.known, []
-        for c in text.split(" "):
-            got = known.get(c)
-            out.append(self._chunk(c) if got is None else got)
+        chunks = text.split(" ")
+        out = list(map(self.known.get, chunks))
+        if None in out:
+            out = [self._chunk(c) if got is None else got for c, got in zip(chunks, out)]
         return b"".join(out)
 
 
