@@ -1,8 +1,8 @@
 """The registered queries of the engine itself."""
 
-from lakeloom.plans import algebra, functions, logs, relational, streams
+from lakeloom.plans import algebra, functions, logs, more, relational, streams
 
-MODULES = [relational, functions, logs, algebra, streams]
+MODULES = [relational, functions, logs, algebra, streams, more]
 
 
 def queries() -> dict:
