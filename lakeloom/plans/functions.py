@@ -11,7 +11,7 @@ from lakeloom.plans.build import Registry, read
 R = Registry()
 
 
-@R.query("fn_agg_basic", "SELECT l_shipdate < TIMESTAMP '1995-01-01' AS early, count(*) AS n, sum(l_linenumber) AS s, round(avg(l_tax), 8) AS a, min(l_tax) AS lo, max(l_tax) AS hi FROM lineitem GROUP BY 1")
+@R.query("fn_agg_basic", "SELECT l_shipdate < TIMESTAMP '1995-01-01' AS early, count(*) AS n, sum(l_linenumber)::BIGINT AS s, round(avg(l_tax), 8) AS a, min(l_tax) AS lo, max(l_tax) AS hi FROM lineitem GROUP BY 1")
 def _(s, d):
     t = read(s, d, "lineitem").withColumn("early", F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp_ntz"))
     return t.groupBy("early").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("s"), F.round(F.avg("l_tax"), 8).alias("a"), F.min("l_tax").alias("lo"), F.max("l_tax").alias("hi"))
