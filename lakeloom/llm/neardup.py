@@ -4,9 +4,10 @@ Documents with equal sets form a class, which counts as one set from here on. A
 of COORDINATES hash functions. In each of TREES independent trees it follows paths: at a node, some coordinates are
 selected by a hash of the node (WIDTHS many by level), and the class goes to the children named by its own minwise
 tokens there. Classes that reach the same leaf are compared by short sketches: first with the group's leaders, whose
-pairs are confirmed on whole sets and joined to components; then every pair in a leaf that is not yet in one
-component is compared and confirmed too. So groups of near copies give a few pairs a member, not all pairs, and no
-link between two components is left out that a tree brings together. A pair of likeness s shares a leaf of a tree
+pairs are confirmed on whole sets and joined to components; then members that are outside their leaf's largest
+component ask for their nearest partners in other components, by sketch, twice, and those that are still outside for
+all partners, so every pair in a leaf that is not in one component has been compared. So groups of near copies give a
+few pairs a member, not all pairs, and no link between two components is left out that a tree brings together. A pair of likeness s shares a leaf of a tree
 with a chance of q(WIDTHS, s); at s = 0.8 the four trees miss 1 in 30,000 pairs, and fewer above.
 
 Leaves of more than HOT rows are dealt to chunks, each with its own leaders, which then meet among themselves; in the
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import BLANKS, Tokens, columns, components, materialise, mix, pair_hash, parallelism, table
 
 TREES, WIDTHS = 4, (2, 2, 2, 1)
-COORDINATES, SKETCH, SKETCH_LEAST = 48, 32, 15
+COORDINATES, SKETCH, SKETCH_LEAST = 48, 64, 37
+#: Partners that a row asks for in the rounds of the second step; None: all.
+ROUNDS = (4, 4, None)
 HOT, HOT_SHARE = 4096, 20_000
 SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, sig binary, sketch binary"
 
@@ -216,34 +219,41 @@ def lead(batches):
         )
 
 
-def across(batches):
-    """Sorted by (leaf, chunk): pairs of a group which lie in different components and have near sketches.
+def across(most: int | None):
+    """Pairs of a group which lie in different components and have near sketches, at most so many for each row that asks.
 
-    Rows that ask are compared with all rows of the group; without any, those outside the group's largest component.
+    Rows that ask are compared with all rows of the group; without any, those outside the group's largest component
+    ask. Batches are sorted by (leaf, chunk).
     """
-    import pyarrow as pa
 
-    for t, s in by_group(batches, 2):
-        node, label, asks = (t.column(c).to_numpy() for c in ("node", "label", "asks"))
-        sk = None
-        a, b = [], []
-        for lo, hi in zip(s[:-1].tolist(), s[1:].tolist()):
-            own = label[lo:hi]
-            if hi - lo < 2 or (own == own[0]).all():
-                continue
-            sk = sketches(t.column("sketch")) if sk is None else sk
-            if asks[lo:hi].any():
-                ask = np.flatnonzero(asks[lo:hi])
-            else:
-                value, count = np.unique(own, return_counts=True)
-                ask = np.flatnonzero(own != value[count.argmax()])
-            for i in ask.tolist():
-                near = np.flatnonzero(((sk[lo:hi] == sk[lo + i]).sum(axis=1) >= SKETCH_LEAST) & (own != own[i]))
-                a.append(np.full(len(near), node[lo + i]))
-                b.append(node[lo + near])
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+    def run(batches):
+        import pyarrow as pa
+
+        for t, s in by_group(batches, 2):
+            node, label, asks = (t.column(c).to_numpy() for c in ("node", "label", "asks"))
+            sk, a, b = None, [], []
+            for lo, hi in zip(s[:-1].tolist(), s[1:].tolist()):
+                own = label[lo:hi]
+                if hi - lo < 2 or (own == own[0]).all():
+                    continue
+                sk = sketches(t.column("sketch")) if sk is None else sk
+                if asks[lo:hi].any():
+                    ask = np.flatnonzero(asks[lo:hi])
+                else:
+                    value, count = np.unique(own, return_counts=True)
+                    ask = np.flatnonzero(own != value[count.argmax()])
+                for i in ask.tolist():
+                    same = (sk[lo:hi] == sk[lo + i]).sum(axis=1)
+                    near = np.flatnonzero((same >= SKETCH_LEAST) & (own != own[i]))
+                    if most is not None and len(near) > most:
+                        near = near[np.argsort(-same[near], kind="stable")[:most]]
+                    a.append(np.full(len(near), node[lo + i]))
+                    b.append(node[lo + near])
+            if a:
+                pairs = np.unique(np.stack([np.minimum(np.concatenate(a), np.concatenate(b)), np.maximum(np.concatenate(a), np.concatenate(b))]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+
+    return run
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -270,13 +280,27 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                     keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], ["u", "v"])
 
-    n = parallelism(pairs)
-    texts = texts.repartition(n, "node")
+    # both joins shuffle the texts alike, and a node with many pairs is split where Spark finds its partition large
     left = pairs.where("u < v").distinct().join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
     both = left.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
     return both.select("u", "v", "text_u", "text_v").mapInArrow(check, "u long, v long")
 
 
+def asking_rows(members: DataFrame, hot: dict) -> DataFrame:
+    """Rows with a mark for those that ask: for leaves dealt to chunks, those outside the largest component, in every chunk."""
+    rest = members.where("chunk = 0").withColumn("asks", F.lit(False))
+    if not hot:
+        return rest
+    dealt = materialise(members.where("chunk > 0"), "members")
+    sizes = dealt.groupBy("leaf", "label").count()
+    main = sizes.groupBy("leaf").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels"))
+    mixed = dealt.join(main.where("labels > 1"), "leaf")
+    many = members.sparkSession.createDataFrame(sorted(hot.items()), "leaf long, chunks int")
+    asking = mixed.where("label <> main").join(F.broadcast(many), "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(1), "chunks")))
+    side = mixed.select("leaf", "chunk", "node", "sketch", "label", F.lit(False).alias("asks"))
+    return rest.union(side).union(asking.select("leaf", "chunk", "node", "sketch", "label", F.lit(True).alias("asks")))
+
+
 def link_documents(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     n = parallelism(docs)
@@ -303,22 +327,14 @@ def link_documents(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFr
         pairs = pairs.union(again.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
     near = members.select("node").distinct()
     texts = materialise(docs.withColumnRenamed("doc_id", "node").join(near, "node", "left_semi"), "texts")
-    first = materialise(confirm(pairs, texts, words, percent), "links")
-
-    labels = components(first)
-    members = members.join(labels, "node", "left").select("leaf", "chunk", "node", "sketch", F.coalesce("root", "node").alias("label"))
-    members = materialise(members, "members")
-    rest = members.where("chunk = 0").withColumn("asks", F.lit(False))
-    if hot:
-        sizes = members.where("chunk > 0").groupBy("leaf", "label").count()
-        main = sizes.groupBy("leaf").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels"))
-        mixed = members.where("chunk > 0").join(main.where("labels > 1"), "leaf")
-        many = docs.sparkSession.createDataFrame(sorted(hot.items()), "leaf long, chunks int")
-        asking = mixed.where("label <> main").join(F.broadcast(many), "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(1), "chunks")))
-        side = mixed.select("leaf", "chunk", "node", "sketch", "label", F.lit(False).alias("asks"))
-        rest = rest.union(side).union(asking.select("leaf", "chunk", "node", "sketch", "label", F.lit(True).alias("asks")))
-    second = confirm(grouped(rest, "node").mapInArrow(across, "u long, v long"), texts, words, percent)
-    found = components(first.union(second)).withColumnRenamed("root", "component_id")
+    links = materialise(confirm(pairs, texts, words, percent), "links")
+    for most in ROUNDS:
+        labels = components(links)
+        own = members.join(labels, "node", "left").select("leaf", "chunk", "node", "sketch", F.coalesce("root", "node").alias("label"))
+        pairs = grouped(asking_rows(own, hot), "node").mapInArrow(across(most), "u long, v long")
+        more = materialise(confirm(pairs, texts, words, percent), "links")
+        links = links.union(more)
+    found = components(links).withColumnRenamed("root", "component_id")
 
     ids = classes.select(*key, "node").join(found, "node", "left").select(*key, F.coalesce("component_id", "node").alias("component_id"))
     # a document that has rows of several sets is one node only under its own id, so links go by id as well
