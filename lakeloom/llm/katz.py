@@ -1,20 +1,18 @@
 """LM scoring: a Katz backoff model of words, Good-Turing discounted, with exactly normalised backoff weights.
 
-Tokens are a text's words and one end. Unigram counts cover every token of the training documents and are written to
-a table in the shared folder, as are bigram counts. A bigram is kept where both its words each make up at least
-PAIR_SHARE of the training tokens (the start counts as such a word); any other history or word is answered by the
-unigrams. Shares are relative, so the model is the same at every size, and there are at most 1 / PAIR_SHARE such
-words. Counts up to GT_MAX are discounted by Good-Turing (where the counts of counts allow it, else by one half);
-larger counts lose ABSOLUTE, so that every history keeps mass for words not seen after it. What discounting frees
-goes to the words not seen after the history in proportion to their unigrams, and at the lowest level to the unknown
-word:
-
-    P(w | h) = d(c) c(h w) / c(h)    if the bigram has been kept and seen
-             = a(h) P(w)             otherwise, with a(h) = 1 for histories that are not kept
-
-A scoring task evaluates each token by backing off, from counts that are sent to all: words of at least WORD_SHARE of
-the tokens (at most 1 / WORD_SHARE) and the backoff weights. Kept bigrams and rarer words it asks for by key, once
-per document; the keys are joined with the tables, and the differences summed per document.
+Tokens are a text's words and one end. Counts of every token and of every pair of tokens (the start is a history) of
+the training documents are written to tables in the shared folder. Counts up to GT_MAX are discounted by Good-Turing
+(where the counts of counts allow it, else by one half); larger counts lose ABSOLUTE, so that every history keeps mass
+for words not seen after it. What discounting frees goes to the words not seen after the history in proportion to
+their unigrams, and at the lowest level to the unknown word:
+
+    P(w | h) = d(c) c(h w) / c(h)    if the bigram has been seen
+             = a(h) P(w)             otherwise, with a(h) = 1 for histories that have not been seen
+
+A scoring task evaluates each token by backing off, from what is sent to all: words, backoff weights and bigrams of at
+least SENT_SHARE of the tokens (at most 1 / SENT_SHARE each). Rarer words, histories and bigrams it asks for by key,
+once per document; the keys are joined with the tables, and the differences summed per document. So the share decides
+only where a value comes from; the model and the scores don't depend on it.
 
 Defined cases: null is an empty text, which has the end as its one token; repeated rows give a row each and count
 each for training; null ids are allowed (training rows by the checksum of the empty text); without training rows the
@@ -29,13 +27,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import BLANKS, Tokens, columns, crc_mod, materialise, mix, table
+from lakeloom.llm.common import BLANKS, Tokens, columns, crc_mod, materialise, mix, pair_hash, table
 
-WORD_SHARE, PAIR_SHARE = 1e-6, 3e-5
+SENT_SHARE = 1e-6
 GT_MAX, ABSOLUTE = 5, 0.05
 END, START = np.uint64(1), np.uint64(2)
-RARE = np.uint64(1 << 63)
-ASKED = "doc_id long, h int, key long, n_tokens long, n_known long, base double, score double"
+#: Tokens that a counting task sums at once.
+COUNTED = 1 << 21
+#: A key is (h, w) for a bigram, (0, w) for a word and (h, 0) for a history; 0 is no token. No key has the end as history.
+ASKED = "doc_id long, mark int, h long, w long, n_tokens long, n_known long, base double, score double"
 
 
 def discounts(counts_of_counts: dict[int, int]) -> list[float]:
@@ -60,17 +60,14 @@ def discounted(c, d: list[float]):
 
 
 class Vocabulary:
-    """Words common enough to be sent to all: hashes in order, counts, unigram logarithms; ids of those kept in bigrams."""
+    """Words common enough to be sent to all: hashes in order, counts, unigram probabilities."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, d: list[float], unknown: float, pair_from: float):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, d: list[float], unknown: float):
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
         self.total, self.distinct, self.d, self.unknown = total, distinct, d, unknown
         self.p = discounted(self.counts, d) / max(1, total)
-        paired = np.flatnonzero(self.counts >= pair_from)
-        self.pair_id = np.zeros(len(order) + 1, np.int64)  # 0: none, 1: the start, then words; the last place is for unknown words
-        self.pair_id[paired] = np.arange(len(paired)) + 2
-        self.paired = paired
+        self.start = len(words) + 1  # the start's place as a history; the place before it is for other words
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places of the words, len(words) for others."""
@@ -79,6 +76,25 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return np.where(self.words[at] == h, at, len(self.words))
 
+    def find_history(self, h: np.ndarray) -> np.ndarray:
+        return np.where(h == START, self.start, self.find(h))
+
+
+class Sent:
+    """What scoring tasks know of bigrams: log10 a(h) by place, and the frequent ones: keys of places in order, differences."""
+
+    def __init__(self, log_a: np.ndarray, keys: np.ndarray, delta: np.ndarray):
+        order = np.argsort(keys)
+        self.log_a, self.keys, self.delta = log_a, keys[order], delta[order]
+
+    def find(self, key: np.ndarray):
+        """Whether each bigram is among them, and its difference (0 for others)."""
+        if not len(self.keys):
+            return np.zeros(len(key), bool), np.zeros(len(key))
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        there = self.keys[at] == key
+        return there, np.where(there, self.delta[at], 0.0)
+
 
 def sequences(tokens: Tokens, column):
     """Blocks of rows: (first row, row after the last, tokens with ends, places of the ends, row of each token)."""
@@ -99,133 +115,158 @@ def count_words(batches):
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c, pa.int64())], ["w", "c"])
 
 
-def pair_keys(v: Vocabulary, t: np.ndarray, ends: np.ndarray):
-    """Of each token: its place in the vocabulary, its history's pair id, and the key of the kept bigram (0: none)."""
-    at = v.find(t)
-    own = v.pair_id[at]
-    before = np.empty_like(own)
-    before[1:] = own[:-1]
-    before[0] = 1
-    before[ends[:-1] + 1] = 1
-    return at, before, np.where((own > 0) & (before > 0), (before << 32) | own, 0)
+def after_start(x: np.ndarray, ends: np.ndarray, start) -> np.ndarray:
+    """Of each token: the value in x of the one before it in its text, or start."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[0] = start
+    out[ends[:-1] + 1] = start
+    return out
 
 
-def count_pairs(vocabulary):
-    def run(batches):
-        import pyarrow as pa
+def runs(h: np.ndarray, w: np.ndarray, row: np.ndarray | None = None):
+    """An order that brings equal (row, h, w) together, the first of each run in it, and the runs' lengths."""
+    k = pair_hash(h, w)  # equal hashes of different pairs make more runs, not wrong ones
+    order = np.argsort(k) if row is None else np.lexsort((k, row))
+    new = np.ones(len(order), bool)
+    for x in (h, w) if row is None else (h, w, row):
+        x = x[order]
+        new[1:] &= x[1:] == x[:-1]
+    new[1:] = ~new[1:]
+    first = np.flatnonzero(new)
+    return order[first], np.diff(np.append(first, len(order)))
 
-        tokens, v = Tokens(BLANKS), vocabulary.value
-        for b in batches:
-            parts = [k[k > 0] for _, _, t, ends, _ in sequences(tokens, b.column(0)) for k in [pair_keys(v, t, ends)[2]]]
-            if parts:
-                k, c = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c, pa.int64())], ["key", "c"])
 
-    return run
+def count_pairs(batches):
+    import pyarrow as pa
+
+    tokens = Tokens(BLANKS)
+
+    def summed(parts):
+        h, w = (np.concatenate(x) for x in zip(*parts))
+        pick, c = runs(h, w)
+        return pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(w[pick].view(np.int64)), pa.array(c, pa.int64())], ["h", "w", "c"])
 
+    for b in batches:
+        parts, n = [], 0
+        for _, _, t, ends, _ in sequences(tokens, b.column(0)):
+            parts.append((after_start(t, ends, START), t))
+            n += len(t)
+            if n >= COUNTED:
+                yield summed(parts)
+                parts, n = [], 0
+        if parts:
+            yield summed(parts)
 
-def ask(vocabulary, backoff):
-    """backoff: broadcast of log10 a(h) by pair id. Emits a row of each document's own sums, and a row for each key it asks for."""
+
+def ask(vocabulary, sent):
+    """Emits a row of each document's own sums, and a row for each key it asks for."""
 
     def run(batches):
         import pyarrow as pa
 
-        tokens, v, log_a = Tokens(BLANKS), vocabulary.value, backoff.value
+        tokens, v, known = Tokens(BLANKS), vocabulary.value, sent.value
         log_count = np.append(np.log10(v.counts + 1.0), 0.0)
-        log_p = np.append(np.log10(v.p), math.log10(v.unknown))
+        log_p = np.append(np.log10(v.p), math.log10(v.unknown) if v.unknown > 0 else -300.0)
         for b in batches:
             ids, marks = b.column(0), b.column(2)
             for lo, hi, t, ends, row in sequences(tokens, b.column(1)):
                 n = hi - lo
-                at, before, key = pair_keys(v, t, ends)
-                rare = at == len(v.words)
+                at, history = v.find(t), after_start(t, ends, START)
+                before = after_start(at, ends, v.start)
+                there, delta = known.find((before << 32) | at)
+                rare, rare_before = at == len(v.words), before == len(v.words)
                 total = lambda x: np.bincount(row, x, n)
-                own = [np.bincount(row, minlength=n), total(~rare).astype(np.int64), total(log_count[at]), total(log_p[at] + log_a[before])]
-                asked = np.concatenate([np.where(rare, (t | RARE).view(np.int64), 0), key])
-                by = np.concatenate([row, row])[asked != 0]
-                asked = asked[asked != 0]
-                order = np.lexsort((asked, by))
-                by, asked = by[order], asked[order]
-                new = np.ones(len(by), bool)
-                new[1:] = (by[1:] != by[:-1]) | (asked[1:] != asked[:-1])
-                start = np.flatnonzero(new)
-                times = np.diff(np.append(start, len(by)))
-                by, asked = by[start], asked[start]
-                m = len(by)
-                none = (np.int64(0x7FFF0000) << np.int64(32)) | (mix(np.arange(n, dtype=np.uint64) + np.uint64(lo)) >> np.uint64(33)).astype(np.int64)
-                pick = pa.array(np.concatenate([np.arange(n), by]) + lo)
+                own = [np.bincount(row, minlength=n), total(~rare).astype(np.int64), total(log_count[at]), total(log_p[at] + known.log_a[before] + delta)]
+                asks = [(np.uint64(0), t, rare), (history, np.uint64(0), rare_before), (history, t, ~there)]
+                h, w, by = (np.concatenate(x) for x in zip(*[(np.broadcast_to(h, len(t))[on], np.broadcast_to(w, len(t))[on], row[on]) for h, w, on in asks]))
+                pick, times = runs(h, w, by)
+                m = len(pick)
+                none = mix(np.arange(n, dtype=np.uint64) + np.uint64(lo))
                 zero = np.zeros(m)
+                rows = pa.array(np.concatenate([np.arange(n), by[pick]]) + lo)
                 # in a row that asks, n_known carries how often the key stands in the document
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(pick),
-                        marks.take(pick),
-                        pa.array(np.concatenate([none, asked])),
+                        ids.take(rows),
+                        marks.take(rows),
+                        pa.array(np.concatenate([np.full(n, END), h[pick]]).view(np.int64)),
+                        pa.array(np.concatenate([none, w[pick]]).view(np.int64)),
                         pa.array(np.concatenate([own[0], np.zeros(m, np.int64)])),
                         pa.array(np.concatenate([own[1], times])),
                         pa.array(np.concatenate([own[2], zero])),
                         pa.array(np.concatenate([own[3], zero])),
                     ],
-                    ["doc_id", "h", "key", "n_tokens", "n_known", "base", "score"],
+                    ["doc_id", "mark", "h", "w", "n_tokens", "n_known", "base", "score"],
                 )
 
     return run
 
 
+def joined(rows: DataFrame, key: str, values: DataFrame, common) -> DataFrame:
+    """Inner join by one key. Values of common keys (at most 1 / SENT_SHARE) are sent to all; other keys have few rows each."""
+    sent = F.broadcast(values.where(common))
+    others = rows.join(F.broadcast(values.where(common).select(key)), key, "left_anti").join(values.where(~common).hint("shuffle_hash"), key)
+    return rows.join(sent, key).unionByName(others)
+
+
 def train(docs: DataFrame):
-    """docs(doc_id, text) of training. Returns (vocabulary broadcast, word counts, bigram counts, log10 a(h) by pair id, bigram discounts)."""
+    """docs(doc_id, text) of training. Returns (vocabulary broadcast, Sent broadcast, table of differences by key)."""
     spark = docs.sparkSession
     text = docs.select("text")
     words = materialise(text.mapInArrow(count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "unigrams")
     sums = words.agg(F.sum("c"), F.count("*"), *[F.sum((F.col("c") == r).cast("long")) for r in range(1, GT_MAX + 2)]).first()
     total, distinct = int(sums[0] or 0), int(sums[1])
+    least = SENT_SHARE * total
     d1 = discounts({r: int(sums[1 + r] or 0) for r in range(1, GT_MAX + 2)})
     kept = float(words.agg(F.sum(discounted(F.col("c"), d1))).first()[0] or 0.0)
     unknown = 1.0 - kept / total if total else 1.0
-    common = words.where(F.col("c") >= WORD_SHARE * total).toPandas()  # at most 1 / WORD_SHARE
-    v = Vocabulary(common["w"].to_numpy(np.int64).view(np.uint64), common["c"].to_numpy(np.int64), total, distinct, d1, unknown, PAIR_SHARE * total)
+    common = words.where(F.col("c") >= least).toArrow()  # at most 1 / SENT_SHARE
+    v = Vocabulary(common["w"].to_numpy().view(np.uint64), common["c"].to_numpy(), total, distinct, d1, unknown)
     vocabulary = spark.sparkContext.broadcast(v)
-    pairs = materialise(text.mapInArrow(count_pairs(vocabulary), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "bigrams")
+    pairs = materialise(text.mapInArrow(count_pairs, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c")), "bigrams")
     counts = {int(r["c"]): int(r["n"]) for r in pairs.where(F.col("c") <= GT_MAX + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
     d2 = discounts(counts)
-    ends = v.counts[v.find(np.array([END]))] if total else []
-    history = np.concatenate([[0.0, float(ends[0]) if len(ends) else 0.0], v.counts[v.paired]])  # documents start as often as they end
-    p = np.concatenate([[0.0, 0.0], v.p[v.paired]])
-    kept_words = spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)], "w int, p double")  # at most 1 / PAIR_SHARE + 2
-    h, w = F.shiftright("key", 32).cast("int"), F.col("key").bitwiseAND(0xFFFFFFFF).cast("int")
-    by_history = pairs.select(h.alias("h"), w.alias("w"), discounted(F.col("c"), d2).alias("c")).join(F.broadcast(kept_words), "w").groupBy("h").agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
-    log_a = np.zeros(len(history))
-    for r in by_history.collect():
-        log_a[r["h"]] = math.log10(max(1e-300, 1.0 - r["c"] / history[r["h"]])) - math.log10(max(1e-300, 1.0 - r["p"]))
-    return vocabulary, words, pairs, history, p, log_a, d2
+    left = discounted(F.col("c"), d2)
+    p = words.select("w", F.col("c").alias("c_w"), (discounted(F.col("c"), d1) / max(1, total)).alias("p"))
+    pairs = joined(pairs, "w", p, F.col("c_w") >= least)
+    # each token but the end stands before another, so the bigrams of a history are as many as it has tokens
+    sums = pairs.groupBy("h").agg(F.sum("c").alias("c_h"), F.sum(F.col("c") - left).alias("free"), F.sum("p").alias("mass"))
+    log_a = F.log10(F.greatest(F.lit(1e-300), F.col("free") / F.col("c_h"))) - F.log10(F.greatest(F.lit(1e-300), 1.0 - F.col("mass")))
+    histories = materialise(sums.select("h", "c_h", log_a.alias("log_a")), "histories")
+    often = (F.col("c_h") >= least) | (F.col("h") == int(START))
+    delta = F.log10(left) - F.log10("c_h") - F.col("log_a") - F.log10("p")
+    pairs = joined(pairs, "h", histories, often).select("h", "w", "c", delta.alias("delta"))
+    weights = histories.where(often).select("h", "log_a").toArrow()  # at most 1 / SENT_SHARE + 1
+    log_a = np.zeros(v.start + 1)
+    log_a[v.find_history(weights["h"].to_numpy().view(np.uint64))] = weights["log_a"].to_numpy()
+    frequent = pairs.where(F.col("c") >= least).toArrow()  # at most 1 / SENT_SHARE; their words are common
+    h, w = (frequent[k].to_numpy().view(np.uint64) for k in ("h", "w"))
+    sent = spark.sparkContext.broadcast(Sent(log_a, (v.find_history(h) << 32) | v.find(w), frequent["delta"].to_numpy()))
+    log_unknown = math.log10(unknown) if unknown > 0 else -300.0
+    none, zero = F.lit(0).cast("long"), F.lit(0.0)
+    rare = words.where(F.col("c") < least).select(
+        none.alias("h"),
+        "w",
+        F.lit(1).alias("d_known"),
+        F.log10(F.col("c") + 1.0).alias("d_base"),
+        (F.log10(discounted(F.col("c"), d1) / max(1, total)) - log_unknown).alias("d_score"),
+    )
+    rare = rare.union(histories.where(~often).select("h", none, F.lit(0), zero, "log_a"))
+    return vocabulary, sent, rare.union(pairs.where(F.col("c") < least).select("h", "w", F.lit(0), zero, "delta"))
 
 
 def score_documents(docs: DataFrame, training) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score. training: Column on doc_id."""
-    spark = docs.sparkSession
     docs = columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    vocabulary, words, pairs, history, p, log_a, d2 = train(docs.where(training))
+    vocabulary, sent, tables = train(docs.where(training))
     v = vocabulary.value
-    backoff = spark.sparkContext.broadcast(log_a)
-    log_unknown = math.log10(v.unknown) if v.unknown > 0 else -300.0
-    rare = words.where(F.col("c") < WORD_SHARE * v.total).select(
-        F.col("w").bitwiseOR(F.lit(-(1 << 63))).alias("key"),
-        F.lit(1).alias("d_known"),
-        F.log10(F.col("c") + 1.0).alias("d_base"),
-        (F.log10(discounted(F.col("c"), v.d) / max(1, v.total)) - log_unknown).alias("d_score"),
-    )
-    logs = [(i, math.log10(x) if x > 0 else 0.0, math.log10(q) if q > 0 else 0.0, float(a)) for i, (x, q, a) in enumerate(zip(history, p, log_a))]
-    small = spark.createDataFrame(logs, "i int, log_c double, log_p double, log_a double")  # at most 1 / PAIR_SHARE + 2
-    seen = pairs.select("key", "c", F.shiftright("key", 32).cast("int").alias("h"), F.col("key").bitwiseAND(0xFFFFFFFF).cast("int").alias("w"))
-    seen = seen.join(F.broadcast(small.select(F.col("i").alias("h"), "log_c", "log_a")), "h").join(F.broadcast(small.select(F.col("i").alias("w"), "log_p")), "w")
-    delta = F.log10(discounted(F.col("c"), d2)) - F.col("log_c") - F.col("log_a") - F.col("log_p")
-    tables = rare.union(seen.select("key", F.lit(0), F.lit(0.0), delta))
-    asked = docs.select("doc_id", "text", F.hash("text").alias("h")).mapInArrow(ask(vocabulary, backoff), ASKED)
-    got = asked.join(tables.hint("shuffle_hash"), "key", "left")
+    asked = docs.select("doc_id", "text", F.hash("text").alias("mark")).mapInArrow(ask(vocabulary, sent), ASKED)
+    got = asked.join(tables.hint("shuffle_hash"), ["h", "w"], "left")
     own = F.col("n_tokens") > 0
     times = F.when(~own, F.col("n_known")).otherwise(0)
     known = F.sum(F.when(own, F.col("n_known")).otherwise(F.col("n_known") * F.coalesce("d_known", F.lit(0))))
-    sums = got.groupBy("doc_id", "h").agg(
+    sums = got.groupBy("doc_id", "mark").agg(
         F.sum(own.cast("long")).alias("copies"),
         F.sum("n_tokens").alias("n_tokens"),
         known.alias("n_known"),

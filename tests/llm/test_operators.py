@@ -249,6 +249,40 @@ def test_katz(spark, tmp_path):
         assert np.allclose(sorted(got[i]), sorted(want[i]), atol=2e-6)
 
 
+@pytest.mark.parametrize("share", [None, 1e-3])
+def test_katz_counts_bigrams_of_rare_words(spark, tmp_path, monkeypatch, share):
+    """More tokens than 33,333, so words seen once are below any share of 3e-5; sent or asked for, the scores are the same."""
+    if share:
+        monkeypatch.setattr(katz, "SENT_SHARE", share)
+    rng = random.Random(12)
+    texts = [" ".join(f"w{int(3 ** rng.uniform(0, 8))}" for _ in range(rng.randint(50, 250))) for _ in range(400)]
+    texts = [t + (f" only{i // 4} here{i // 4}" if i % 3 else "") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in katz.query(spark, write(tmp_path / "t", [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    tok = [t.encode().split() + [0] for t in texts]
+    c, b, h = Counter(), Counter(), Counter()
+    for i, k in enumerate(tok):
+        if crc(i, 7) != 2:
+            c.update(k)
+            b.update(zip([1] + k[:-1], k))
+            h.update([1] + k[:-1])
+    total = sum(c.values())
+    assert total > 40_000
+    d1, d2 = katz.discounts(Counter(c.values())), katz.discounts(Counter(b.values()))
+    star = lambda n, d: n - katz.ABSOLUTE if n > katz.GT_MAX else n * d[n]
+    p = {w: star(n, d1) / total for w, n in c.items()}
+    unknown, seen, mass = 1 - sum(p.values()), Counter(), Counter()
+    for (x, w), n in b.items():
+        seen[x] += star(n, d2) / h[x]
+        mass[x] += p[w]
+    weight = {x: (1 - seen[x]) / (1 - mass[x]) for x in seen}
+    prob = lambda x, w: star(b[x, w], d2) / h[x] if (x, w) in b else weight.get(x, 1) * p.get(w, unknown)
+    for i, k in enumerate(tok):
+        base = sum(math.log10((c[w] + 1) / (total + len(c) + 1)) for w in k)
+        score = sum(math.log10(prob(x, w)) for x, w in zip([1] + k[:-1], k))
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(k), sum(c[w] > 0 for w in k), total)
+        assert math.isclose(got[i]["base_score"], base, rel_tol=1e-9) and math.isclose(got[i]["score"], score, rel_tol=1e-9), i
+
+
 def test_minimax_cuts_are_best():
     rng = random.Random(6)
     for _ in range(200):
