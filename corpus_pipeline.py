@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a table; run() writes each as
 it again as the next stage's input. All but the last return the columns of documents.
 
 * language: rows that language ID rejects go (null texts, and texts without a letter); all others stay.
-* near_dups: of each group of near copies the document with the smallest id stays, in one row.
+* near_dups: of each group of near copies one row stays, that with the smallest id. Rows count each by itself, those
+  that repeat an id or have none too; of rows with the same id and text one stays.
 * decontaminate: words that lie in a benchmark window are cut out of the text; a document of which less than
   KEEP_SHARE of its words is left goes.
 * pii: each span of personal data is replaced by its kind in brackets.
@@ -34,9 +35,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _documents(docs)
-    kept = neardup.link_documents(docs)
-    gone = kept.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*KINDS)
+    docs = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    linked = neardup.link_documents(docs.select(F.col("_row").alias("doc_id"), "text"))
+    linked = linked.groupBy(F.col("doc_id").alias("_row")).agg(F.min("component_id").alias("component"))
+    rows = docs.groupBy("_row").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).join(linked, "_row")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("x"))
+    rows = rows.join(first.select("x._row", F.lit(True).alias("first")), "_row", "left")
+    marks = rows.select("_row", F.col("first").isNull().alias("gone"), "n").where("gone or n > 1").drop("n")
+    # only rows that go or are repeated have marks, so all others are taken as they stand
+    marked = docs.join(materialise(marks, "marks"), "_row", "left")
+    repeated = marked.where("not gone").groupBy("_row").agg(F.min(F.struct(*KINDS)).alias("x")).select("x.*")
+    return marked.where("gone is null").select(*KINDS).union(repeated)
 
 
 def decontaminate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

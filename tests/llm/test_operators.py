@@ -406,3 +406,19 @@ def test_pipeline_against_brute_force(spark):
         if name == "pii":
             assert not any(pii.base_spans(r["text"]) for r in docs.collect())
     assert {r["doc_id"] for r in docs.collect()} == left
+
+
+def test_pipeline_keeps_one_row_of_near_copies(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(21)
+    a, b, c, d = (prose(rng, 100) for _ in range(4))
+    rows = [
+        (7, a, "x"), (7, a, "y"), (7, a, "y"), (9, a + " more", "x"), (None, a, "x"),  # repeated rows, a near copy, a copy without id
+        (None, b, "x"), (None, b, "x"), (None, b + " more", "x"),  # no id at all
+        (8, c, "x"), (8, d, "x"), (8, d + " more", "x"),  # an id with two texts, and a near copy
+    ]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [tuple(r) for r in corpus_pipeline.near_dups(spark, docs, SF).collect()]
+    assert sorted((r[0] or 0, r[3], r[4] == len(r[1])) for r in got) == [(0, "x", True), (7, "x", True), (8, "x", True), (8, "x", True)]
+    texts = {r[1].removesuffix(" more") for r in got}
+    assert texts == {a, b, c, d} and next(r[1] for r in got if r[0] == 7) == a
