@@ -66,7 +66,18 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lakeloom/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialise() which nothing reads any more; other tables are left alone."""
+    for df in tables:
+        if path := df.__dict__.pop("written", None):
+            jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def crc_mod(col: Column, m: int) -> Column:
@@ -194,9 +205,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps until the edges stay as they are; each step is a grouped minimum
     and a join, written to the shared folder. Sizes at hubs are met by partial sums and by splitting skewed joins.
+    The result is a written table.
     """
     e = edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct()
     e, before = materialise(e, "edges"), None
+    if not e.head(1):
+        return e.toDF("node", "root")
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -205,13 +219,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = materialise(small, "edges")
+        after = materialise(small, "edges")
+        discard(e)
+        e = after
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(
+    found = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+    out = materialise(found, "roots")
+    discard(e)
+    return out
