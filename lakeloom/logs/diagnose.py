@@ -12,13 +12,13 @@ from pyspark.sql.window import Window as W
 TEMPLATE = [
     (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<uuid>"),
     (r"\b[0-9a-fA-F]{16,}\b", "<hex>"),
-    (r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)?", "<ts>"),
-    (r"\b\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?\b", "<ip>"),
-    (r"(^|[\s=:(])/[^\s,;)]+", "$1<path>"),
+    (r"\d{4}-\d{2}-\d{2}T[0-9:.]+(?:Z|[+-]\d{2}:\d{2})?", "<ts>"),
+    (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?::\d+)?\b", "<addr>"),
+    (r"(^|\s)/\S+", "$1<path>"),
     (r"\d+", "<n>"),
-    (r"`[^`]*`", "<q>"),
-    (r"'[^']*'", "<q>"),
-    (r'"[^"]*"', "<q>"),
+    (r"`[^`]*`", "`<q>`"),
+    (r"'[^']*'", "'<q>'"),
+    (r'"[^"]*"', '"<q>"'),
 ]
 
 
@@ -190,9 +190,9 @@ def gaps(events: DataFrame, by: list[str], least_run: int = 3, least_gap: int =
 
 
 def restarts(gap: DataFrame, startups: DataFrame) -> DataFrame:
-    """Gaps (in minutes) with a startup finding within five minutes of their end. Both are small by then."""
-    first = F.floor(F.unix_seconds("first_seen") / 60)
-    return gap.join(startups.select(first.alias("at")), (F.col("at") >= F.col("gap_end")) & (F.col("at") <= F.col("gap_end") + 5), "left_semi")
+    """Gaps (in minutes) with a startup finding within five minutes of their end: each of the six minutes is looked up."""
+    minutes = startups.select(F.floor(F.unix_seconds("first_seen") / 60).alias("at")).distinct()
+    return gap.withColumn("at", F.explode(F.sequence("gap_end", F.col("gap_end") + 5))).join(minutes, "at", "left_semi").drop("at").distinct()
 
 
 def disjoint_nodes(events: DataFrame, least: int = 100) -> DataFrame:

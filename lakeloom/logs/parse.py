@@ -74,28 +74,47 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-PANIC_HEAD = r"^thread '[^']*'(?: \(\d+\))? panicked at "
-TRACE_LINE = r"^\s*(?:stack backtrace:|\d+: |at |note: )"
+#: Headers with the payload on the next line, and with the payload quoted in the header. Fixed patterns.
+PANIC_NEW = r"^thread '([^']*)' panicked at (.+:\d+(?::\d+)?):$"
+PANIC_OLD = r"^thread '([^']*)' panicked at '(.*)', (.+:\d+(?::\d+)?)$"
+#: Lines behind the payload that belong to the block. Fixed pattern.
+TRACE_LINE = r"^(?:\s.*|stack backtrace:|note: .*)$"
+TRUNCATED = "…[truncated]"
 
 
 def fold_panics(lines: DataFrame, most: int = 8192) -> DataFrame:
-    """Panic blocks become one line each: the header, its payload line and the trace behind it, up to a blank line.
+    """Panic blocks become one row of kind panic each; other lines stay, with kind line and no fields.
 
-    A line belongs to the last header before it in its file if no line between ends the block; both are windows over
-    one file, which is one task's work anyway.
+    A header without payload takes the next line as it, unless that is a header or a JSON object; then indented lines,
+    `stack backtrace:` and notes belong to the block, up to the first other line. fields has panic_thread,
+    panic_location and panic_full: the lines, as long as they keep to `most` bytes, then a mark.
+    A block is the lines from one header on, so it is small however long its file is.
     """
     w = W.partitionBy("node", "file").orderBy("line")
-    head = F.rlike("text", F.lit(PANIC_HEAD))
-    t = lines.withColumn("head", head.cast("int")).withColumn("block", F.sum(head.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    fresh, old = F.rlike("text", F.lit(PANIC_NEW)), F.rlike("text", F.lit(PANIC_OLD))
+    t = lines.withColumn("fresh", fresh).withColumn("head", fresh | old)
+    t = t.withColumn("block", F.sum(F.col("head").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
     inside = W.partitionBy("node", "file", "block").orderBy("line")
-    place = F.row_number().over(inside)
-    belongs = (F.col("block") > 0) & ((place <= 2) | F.rlike("text", F.lit(TRACE_LINE))) & (F.trim("text") != "")
-    t = t.withColumn("in_block", belongs)
+    payload = F.coalesce(F.lag("fresh").over(inside), F.lit(False))
+    belongs = F.col("head") | F.when(payload, ~F.ltrim("text").startswith("{")).otherwise(F.rlike("text", F.lit(TRACE_LINE)))
+    t = t.withColumn("in_block", (F.col("block") > 0) & belongs)
     ended = F.max((~F.col("in_block")).cast("int")).over(inside.rowsBetween(W.unboundedPreceding, 0))
-    t = t.withColumn("panic", (F.col("block") > 0) & (ended == 0))
-    folded = t.where("panic").groupBy("node", "file", "block").agg(F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    folded = folded.select("node", "file", "line", F.substring("text", 1, most).alias("text"), F.lit("panic").alias("kind"))
-    return folded.unionByName(t.where("not panic").select("node", "file", "line", "text", F.lit("line").alias("kind")))
+    t = t.withColumn("panic", ended == 0)
+    rows = F.array_sort(F.collect_list(F.struct("line", "text", "fresh")))
+    folded = t.where("panic").groupBy("node", "file", "block").agg(rows.alias("rows")).withColumn("first", F.element_at("rows", 1))
+    text = F.col("first.text")
+    start = F.struct(text.alias("full"), F.lit(False).alias("cut"))
+    too_long = lambda acc, x: F.octet_length(acc["full"]) + 1 + F.octet_length(x["text"]) > most
+    step = lambda acc, x: F.when(acc["cut"], acc).when(too_long(acc, x), F.struct(F.concat(acc["full"], F.lit("\n" + TRUNCATED)).alias("full"), F.lit(True).alias("cut"))).otherwise(F.struct(F.concat(acc["full"], F.lit("\n"), x["text"]).alias("full"), F.lit(False).alias("cut")))
+    full = F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), start, step)["full"]
+    is_new = F.col("first.fresh")
+    part = lambda new, old: F.when(is_new, F.regexp_extract(text, PANIC_NEW, new)).otherwise(F.regexp_extract(text, PANIC_OLD, old))
+    said = F.trim(F.when(is_new, F.coalesce(F.get("rows", F.lit(1))["text"], F.lit(""))).otherwise(F.regexp_extract(text, PANIC_OLD, 2)))
+    message = F.concat(F.lit("thread '"), part(1, 1), F.lit("' panicked at "), part(2, 3), F.lit(": "), said)
+    fields = F.create_map(F.lit("panic_thread"), part(1, 1), F.lit("panic_location"), part(2, 3), F.lit("panic_full"), full)
+    folded = folded.select("node", "file", F.col("first.line").alias("line"), message.alias("text"), F.lit("panic").alias("kind"), fields.alias("fields"))
+    others = t.where("not panic").select("node", "file", "line", "text", F.lit("line").alias("kind"), F.create_map().cast("map<string,string>").alias("fields"))
+    return folded.unionByName(others)
 
 
 def parse_stats(events: DataFrame, total: int) -> DataFrame:

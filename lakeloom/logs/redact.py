@@ -9,8 +9,17 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Field names whose values are hashed whole. Our own list.
-SENSITIVE = ("access_key", "account", "bucket", "client_ip", "endpoint", "host", "ip", "key", "object", "password", "peer", "prefix", "remote", "secret", "token", "user")
+#: Field names whose values are hashed whole, in any case. Fixed values.
+SENSITIVE = [
+    "bucket", "object", "key", "prefix", "access_key", "accessKey", "host", "remote_addr", "remotehost", "endpoint", "peer", "ip",
+    "path", "file_path", "disk", "drive", "volume", "volumes", "url", "node", "user", "username", "resource",
+]
+
+#: The same names in a message, with `=` or `:` and a value in quotes or up to a blank or a delimiter. Fixed pattern.
+FIELD = r"""\b(bucket|object|key|prefix|access[_-]?key|host|remote_addr|remotehost|endpoint|peer|ip|path|file_path|disk|drive|volume|volumes|url|node|user|username|resource)(\s*[:=]\s*)("[^"]*"|'[^']*'|[^\s,;)\]}"']+)"""
+#: Addresses. Fixed patterns.
+IPV4 = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?::\d+)?\b"
+IPV6 = r"\b(?:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?:[0-9a-f]{1,4}:)+:[0-9a-f]{0,4}(?::[0-9a-f]{1,4})*|::(?:[0-9a-f]{1,4})(?::[0-9a-f]{1,4})*)\b"
 
 
 def hashed(value: Column) -> Column:
@@ -18,20 +27,18 @@ def hashed(value: Column) -> Column:
 
 
 def redact_field(name: Column, value: Column) -> Column:
-    return F.when(F.lower(name).isin(*SENSITIVE), hashed(value)).otherwise(redact_text()(value))
+    return F.when(F.lower(name).isin(*{n.lower() for n in SENSITIVE}), hashed(value)).otherwise(redact_text()(value))
 
 
 def redact_provenance(path: Column) -> Column:
-    """The folder or archive part hashed, the leaf kept."""
-    folder, leaf = F.regexp_extract(path, r"^(.*[/!])[^/!]*$", 1), F.regexp_extract(path, r"([^/!]*)$", 1)
-    return F.when(folder == "", leaf).otherwise(F.concat(hashed(folder), F.lit("/"), leaf))
+    """What stands before the last `/` or `!` hashed, the rest kept."""
+    leaf = F.regexp_extract(path, r"([/!][^/!]*)$", 1)
+    return F.when(leaf == "", path).otherwise(F.concat(hashed(F.substr(path, F.lit(1), F.length(path) - F.length(leaf))), leaf))
 
 
 def redact_text():
-    """key=value identifiers, then IPv4 and IPv6 addresses. The replacement depends on the match, so this is a pandas function."""
-    pair = re.compile(r"\b(" + "|".join(SENSITIVE) + r")=([^\s,;]+)", re.I)
-    v4 = re.compile(r"\b\d{1,3}(?:\.\d{1,3}){3}\b")
-    v6 = re.compile(r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){3,7}[0-9a-fA-F]{1,4}(?![\w:])")
+    """Identifiers behind their names, then IPv4 and IPv6 addresses. The replacement depends on the match, so this is a pandas function."""
+    field, v4, v6 = re.compile(FIELD, re.I), re.compile(IPV4), re.compile(IPV6, re.I)
 
     def scrub(x: pd.Series) -> pd.Series:
         short = lambda s: "h:" + hashlib.sha256(s.encode()).hexdigest()[:16]
@@ -39,7 +46,7 @@ def redact_text():
         def one(s):
             if s is None:
                 return None
-            s = pair.sub(lambda m: f"{m[1]}={short(m[2])}", s)
+            s = field.sub(lambda m: m[1] + m[2] + short(m[3].strip("\"'")), s)
             return v6.sub(lambda m: short(m[0]), v4.sub(lambda m: short(m[0]), s))
 
         return x.map(one, na_action="ignore")

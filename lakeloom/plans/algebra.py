@@ -21,7 +21,9 @@ def context(s, d):
         "event_id", F.col("event_type").alias("action"), F.concat(F.lit("user/"), F.col("user_id")).alias("resource"),
         F.create_map(F.lit("groups"), F.array("event_type", F.concat(F.lit("g"), F.col("user_id") % 3)), F.lit("n"), F.array(F.get_json_object("props", "$.k")), F.lit("ip"), F.array(F.concat(F.lit("10.0."), F.col("user_id") % 256, F.lit(".7"))),
                      F.lit("when"), F.array(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit("b"), F.array(F.when(F.col("user_id") % 2 == 0, "true").otherwise("false")), F.lit("bin"), F.array(F.base64(F.encode("event_type", "UTF-8")))).alias("ctx"),
-    )
+        F.when(F.col("user_id") % 2 == 0, F.create_map(F.lit("opt"), F.array(F.when(F.col("user_id") % 4 == 0, "true").otherwise("false")), F.lit("optn"), F.array(F.col("user_id").cast("string")))).otherwise(F.create_map().cast("map<string,array<string>>")).alias("more"),
+        F.array(F.concat(F.lit("2001:DB8:0:"), F.lower(F.hex(F.col("user_id") % 16)), F.lit("::"), F.lower(F.hex(F.col("user_id"))))).alias("ip6"),
+    ).withColumn("ctx", F.map_concat("ctx", "more", F.create_map(F.lit("ip6"), "ip6")))
 
 
 def _flag(name, sql, cond):
@@ -35,13 +37,14 @@ _flag("fn_cond_str_not_like", "NOT (event_type LIKE 'p%' OR 'g' || (user_id % 3)
 _flag("fn_cond_quant_all", "event_type NOT IN ('click', 'g0') AND 'g' || (user_id % 3) NOT IN ('click', 'g0')", lambda c: C.string_condition(c, "StringNotEquals", "groups", ["click", "g0"], "ForAllValues"))
 _flag("fn_cond_quant_any", "event_type NOT IN ('click', 'g0') OR 'g' || (user_id % 3) NOT IN ('click', 'g0')", lambda c: C.string_condition(c, "StringNotEquals", "groups", ["click", "g0"], "ForAnyValue"))
 _flag("fn_cond_num", "coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT) < 40, false)", lambda c: C.numeric_condition(c, "LessThan", "n", 40))
-_flag("fn_cond_num_if_exists", "true", lambda c: C.numeric_condition(c, "GreaterThanIfExists", "absent", 40))
+_flag("fn_cond_num_if_exists", "user_id % 2 = 1 OR user_id > 40", lambda c: C.numeric_condition(c, "GreaterThanIfExists", "optn", 40))
 _flag("fn_cond_date", "date_trunc('second', ts) >= (TIMESTAMP '2024-01-10 00:00:00')", lambda c: C.date_condition(c, "GreaterThanEquals", "when", "2024-01-10T00:00:00Z"))
 _flag("fn_cond_bool", "user_id % 2 = 0", lambda c: C.bool_condition(c, "b", True))
-_flag("fn_cond_null", "true", lambda c: C.null_condition(c, "absent", True))
+_flag("fn_cond_null", "user_id % 2 = 1", lambda c: C.null_condition(c, "opt", True))
 _flag("fn_cond_ip", "(user_id % 256) < 128", lambda c: C.ip_condition(c, "ip", ["10.0.0.0/17"]))
+_flag("fn_cond_ip6", "user_id % 16 < 8", lambda c: C.ip_condition(c, "ip6", ["10.0.0.0/8", "2001:db8::/61"]))
 _flag("fn_cond_bin", "event_type = 'click'", lambda c: C.binary_condition(c, {"bin": ["Y2xpY2s="]}))
-_flag("fn_cond_ifexists", "true", lambda c: C.if_exists(c, ["absent"], C.bool_condition(c, "absent", True)))
+_flag("fn_cond_ifexists", "user_id % 2 = 1 OR user_id % 4 = 0", lambda c: C.if_exists(c, ["opt"], C.bool_condition(c, "opt", True)))
 _flag("fn_cond_all", "event_type = 'click' AND user_id % 2 = 0", lambda c: C.every([C.string_condition(c, "StringEquals", "groups", ["click"]), C.bool_condition(c, "b", True)]))
 _flag("fn_glob", "regexp_matches(event_type, '^.i.*$')", lambda c: C.glob(c["groups"][0], "?i*"))
 
@@ -110,7 +113,7 @@ def _(s, d):
     return read(s, d, "orders").select("o_orderkey", O.guarded(F.lit("DeleteVersion"), pending, F.col("o_orderkey") % 3 == 0, F.lit("v")).alias("action"))
 
 
-@R.query("win_newer_nc", "SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' AND rk > 2 AND o_orderpriority <> '1-URGENT' THEN 'DeleteVersion' ELSE 'None' END AS action FROM (SELECT *, sum(CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey ROWS UNBOUNDED PRECEDING) AS rk FROM orders)")
+@R.query("win_newer_nc", "SELECT unnest(f.o[2:]) AS o_orderkey, unnest(f.a[2:]) AS action FROM (SELECT list_reduce(list_prepend({'o': [0]::BIGINT[], 'a': ['']::VARCHAR[], 's': 0::BIGINT}, list({'o': [o_orderkey], 'a': [CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' AND o_orderpriority <> '1-URGENT' THEN 'y' ELSE 'n' END], 's': 0::BIGINT} ORDER BY o_orderdate DESC, o_orderkey)), lambda acc, x: {'o': list_concat(acc.o, x.o), 'a': list_append(acc.a, CASE WHEN acc.s >= 2 AND x.a[1] = 'y' THEN 'DeleteVersion' ELSE 'None' END), 's': CASE WHEN acc.s >= 2 AND x.a[1] = 'y' THEN acc.s ELSE acc.s + 1 END}) AS f FROM orders GROUP BY o_custkey)")
 def _(s, d):
     old = F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")
     return O.expire_noncurrent(read(s, d, "orders"), "o_custkey", [F.desc("o_orderdate"), F.col("o_orderkey")], 2, old, F.col("o_orderpriority") != "1-URGENT").select("o_orderkey", "action")
@@ -129,9 +132,9 @@ def _(s, d):
     return read(s, d, "documents").select("doc_id", O.replication_target(F.col("source"), F.create_map(F.lit("lang"), F.col("lang")), _RULES).alias("rule"))
 
 
-@R.query("win_prio_role", "SELECT doc_id, 'other' AS rule FROM documents")
+@R.query("win_prio_role", "SELECT doc_id, CASE WHEN source LIKE 'src1%' THEN 'high' WHEN source LIKE 'src%' THEN 'low' END AS rule FROM documents")
 def _(s, d):
-    return read(s, d, "documents").select("doc_id", O.role_target(F.col("source"), _RULES).alias("rule"))
+    return read(s, d, "documents").select("doc_id", O.role_target(F.col("source"), _RULES[:2]).alias("rule"))
 
 
 @R.query("fn_repl_delete", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'Marker' ELSE 'PurgeVersion' END AS act FROM orders")
@@ -168,10 +171,15 @@ def _(s, d):
     return rollup.checked_tree(edges, sizes.union(tops), depth=3)
 
 
-@R.query("agg_compact_tree", "SELECT c_custkey AS node, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) <= count(*) OVER (PARTITION BY c_nationkey) - 20 AS collapsed FROM customer")
+@R.query("agg_compact_tree", f"""WITH p AS (SELECT string_split('all/' || path, '/') AS a FROM ({_PAGES})),
+t AS (SELECT array_to_string(a[1:i], '/') AS node, i AS depth, array_to_string(a[1:i - 1], '/') AS parent, count(*) AS objects FROM (SELECT a, unnest(range(1, len(a) + 1)) AS i FROM p) GROUP BY ALL),
+k AS (SELECT parent AS node, count(*) AS children FROM t WHERE depth > 1 GROUP BY 1),
+c AS (SELECT node, sum(children) OVER (ORDER BY objects, depth DESC, node) - children AS before FROM t JOIN k USING (node)),
+x AS (SELECT node FROM c WHERE before < (SELECT count(*) FROM t) - 1 - 100 AND node <> 'all')
+SELECT node, objects, node IN (SELECT node FROM x) AS collapsed FROM t WHERE parent NOT IN (SELECT node FROM x)""")
 def _(s, d):
-    t = read(s, d, "customer").select(F.col("c_nationkey").alias("parent"), F.col("c_custkey").alias("node"), F.col("c_acctbal").alias("objects"))
-    return rollup.compact(t, 20).select("node", "collapsed")
+    pages = _pages(s, d).withColumn("path", F.concat(F.lit("all/"), "path"))
+    return rollup.compact(rollup.tree(pages, "path", "size"), "all", 100)
 
 
 @R.query("agg_usage", "SELECT l_returnflag, count(*) AS versions, sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS delete_markers, round(sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END), 2) AS bytes FROM lineitem GROUP BY 1")
@@ -224,11 +232,11 @@ def _(s, d):
     return rolling.rolling(_sec(s, d), ["event_type"], "sec", F.floor("value"), 60).select("event_id", "n", "total")
 
 
-@R.query("str_fail_win", "SELECT event_id, count(*) FILTER (event_type = 'error') OVER (ORDER BY sec RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS minute, count(*) FILTER (event_type = 'error') OVER (ORDER BY sec RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS hour FROM (SELECT *, user_id % 16 AS u, floor(epoch(ts))::BIGINT AS sec FROM events) WHERE u = 3")
+@R.query("str_fail_win", "SELECT event_id, count(*) FILTER (event_type = 'error') OVER (ORDER BY sec RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS minute, count(*) FILTER (event_type = 'error') OVER (ORDER BY sec RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS hour FROM (SELECT *, floor(epoch(ts))::BIGINT AS sec FROM events)")
 def _(s, d):
-    t = _sec(s, d).withColumn("u", F.col("user_id") % 16).where("u = 3")
-    w = lambda n: W.partitionBy("u").orderBy("sec").rangeBetween(-n, 0)
-    return t.select("event_id", F.count_if(F.col("event_type") == "error").over(w(60)).alias("minute"), F.count_if(F.col("event_type") == "error").over(w(3600)).alias("hour"))
+    t = _sec(s, d)
+    counts = rolling.rolling_seconds(t, "sec", F.col("event_type") == "error", {"minute": 60, "hour": 3600})
+    return t.join(counts, "sec").select("event_id", "minute", "hour")
 
 
 @R.query("str_ema", "SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x: 0.1 * x + 0.9 * a), 8) AS ema FROM events GROUP BY 1")

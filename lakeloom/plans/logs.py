@@ -27,7 +27,7 @@ def log_events(s, d):
     )
 
 
-@R.query("fn_template", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}', '<uuid>', 'g'), '\b[0-9a-fA-F]{16,}\b', '<hex>', 'g'), '\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)?', '<ts>', 'g'), '\b\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?\b', '<ip>', 'g'), '(^|[\s=:(])/[^\s,;)]+', '\1<path>', 'g'), '\d+', '<n>', 'g'), '`[^`]*`', '<q>', 'g'), '''[^'']*''', '<q>', 'g'), '"[^"]*"', '<q>', 'g') AS template FROM documents""")
+@R.query("fn_template", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}', '<uuid>', 'g'), '\b[0-9a-fA-F]{16,}\b', '<hex>', 'g'), '\d{4}-\d{2}-\d{2}T[0-9:.]+(?:Z|[+-]\d{2}:\d{2})?', '<ts>', 'g'), '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?::\d+)?\b', '<addr>', 'g'), '(^|\s)/\S+', '\1<path>', 'g'), '\d+', '<n>', 'g'), '`[^`]*`', '`<q>`', 'g'), '''[^'']*''', '''<q>''', 'g'), '"[^"]*"', '"<q>"', 'g') AS template FROM documents""")
 def _(s, d):
     return read(s, d, "documents").select("doc_id", diagnose.template(F.col("text")).alias("template"))
 
@@ -119,10 +119,10 @@ def _(s, d):
     return diagnose.gaps(t, ["user_id"], least_run=1, least_gap=600)
 
 
-@R.query("jn_gap_restart", "WITH m AS (SELECT DISTINCT user_id, floor(epoch(ts) / 60)::BIGINT AS m FROM events), l AS (SELECT *, lead(m) OVER (PARTITION BY user_id ORDER BY m) AS nx FROM m), g AS (SELECT user_id, m + 1 AS gap_start, nx AS gap_end FROM l WHERE nx - m > 600) SELECT * FROM g WHERE EXISTS (SELECT 1 FROM (SELECT floor(epoch(ts) / 60)::BIGINT AS t0 FROM events WHERE event_type = 'signup' AND event_id % 50 = 0) u WHERE t0 >= gap_end AND t0 <= gap_end + 5)")
+@R.query("jn_gap_restart", "WITH m AS (SELECT DISTINCT user_id, floor(epoch(ts) / 60)::BIGINT AS m FROM events), l AS (SELECT *, lead(m) OVER (PARTITION BY user_id ORDER BY m) AS nx FROM m), g AS (SELECT user_id, m + 1 AS gap_start, nx AS gap_end FROM l WHERE nx - m > 600) SELECT * FROM g WHERE EXISTS (SELECT 1 FROM (SELECT floor(epoch(ts) / 60)::BIGINT AS t0 FROM events WHERE event_type = 'signup') u WHERE t0 >= gap_end AND t0 <= gap_end + 5)")
 def _(s, d):
     t = read(s, d, "events")
-    ups = t.where("event_type = 'signup' AND event_id % 50 = 0").select(F.col("ts").cast("timestamp").alias("first_seen"))
+    ups = t.where("event_type = 'signup'").select(F.col("ts").cast("timestamp").alias("first_seen"))
     return diagnose.restarts(diagnose.gaps(t.select("user_id", F.col("ts").cast("timestamp").alias("timestamp")), ["user_id"], 1, 600), ups)
 
 
@@ -132,9 +132,9 @@ def _(s, d):
     return diagnose.disjoint_nodes(read(s, d, "events").select(ts.alias("timestamp"), F.concat(F.lit("w"), F.floor(F.unix_seconds(ts) / 604800)).alias("node")))
 
 
-@R.query("str_offsets", "SELECT ['+08:00', 'Z'] AS offsets, true AS mixed")
+@R.query("str_offsets", "SELECT list_sort(list(DISTINCT o)) AS offsets, count(DISTINCT o) > 1 AS mixed FROM (SELECT CASE WHEN event_type = 'view' THEN NULL WHEN user_id % 2 = 0 THEN 'Z' ELSE '+08:00' END AS o FROM events) WHERE o IS NOT NULL")
 def _(s, d):
-    return diagnose.offsets(log_events(s, d).withColumn("offset", F.when(F.col("event_id") % 2 == 0, "Z").otherwise("+08:00")))
+    return diagnose.offsets(log_events(s, d).withColumn("offset", F.when(F.col("node").isin("n0", "n2"), "Z").otherwise("+08:00")).withColumn("offset", F.when(~F.col("message").startswith("view"), F.col("offset"))))
 
 
 @R.query("fn_filter_time", f"SELECT event_id FROM ({_EV}) WHERE ts >= (SELECT min(ts) + INTERVAL 1 DAY FROM events) AND ts <= (SELECT min(ts) + INTERVAL 3 DAY FROM events) AND (level IS NULL OR level >= 3)")
@@ -159,12 +159,33 @@ def _(s, d):
     return got.select(F.col("line").alias("event_id"), F.element_at("fields", "k").alias("k"), "kind", "level", "message")
 
 
-@R.query("fn_panic", "SELECT 1 + i * 4 AS line, CASE WHEN i % 2 = 0 THEN 'panic' ELSE 'line' END AS kind FROM range(50) t(i) UNION ALL SELECT 1 + i * 4 + j, 'line' FROM range(50) t(i), range(1, 4) u(j) WHERE i % 2 = 1 OR j = 3")
-def _(s, d):
-    i, j = F.floor((F.col("id") - 1) / 4), (F.col("id") - 1) % 4
-    text = F.when(i % 2 == 1, F.lit("plain")).when(j == 0, "thread 'main' panicked at src/a.rs:1:2:").when(j == 1, "index out of bounds").when(j == 2, "   0: frame").otherwise("next line")
-    lines = s.range(1, 201).select(F.lit("n").alias("node"), F.lit("f").alias("file"), F.col("id").alias("line"), text.alias("text"))
-    return parse.fold_panics(lines).select("line", "kind")
+_PANIC_LINES = """SELECT 'f' || (event_id // 10) AS file, event_id AS line, CASE
+WHEN event_id % 10 = 1 THEN 'thread ''t' || (user_id % 8) || ''' panicked at src/' || event_type || '.rs:' || (user_id % 90) || ':5:'
+WHEN event_id % 10 = 2 AND user_id % 5 = 0 THEN '{"level":"ERROR"}' WHEN event_id % 10 = 2 THEN ' payload ' || user_id
+WHEN event_id % 10 = 3 AND user_id % 7 = 0 THEN 'frame not indented' WHEN event_id % 10 = 3 THEN 'stack backtrace:'
+WHEN event_id % 10 = 4 THEN '   0: ' || event_type WHEN event_id % 10 = 5 THEN 'note: run again'
+WHEN event_id % 10 = 7 THEN 'thread ''main'' panicked at ''' || event_type || ''', src/m.rs:3' WHEN event_id % 10 = 8 AND user_id % 2 = 0 THEN '  at src/m.rs' ELSE 'line ' || event_id END AS text FROM events"""
+
+
+@R.query("fn_panic", f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line) AS rn FROM ({_PANIC_LINES})),
+h AS (SELECT *, regexp_matches(text, '^thread ''[^'']*'' panicked at .+:[0-9]+(:[0-9]+)?:$') AS fresh, regexp_matches(text, '^thread ''[^'']*'' panicked at ''.*'', .+:[0-9]+(:[0-9]+)?$') AS old FROM l),
+s AS (SELECT file, rn, line, text, CASE WHEN fresh THEN 2 WHEN old THEN 1 ELSE 0 END AS state, CASE WHEN fresh OR old THEN line END AS head FROM h WHERE rn = 1
+UNION ALL SELECT h.file, h.rn, h.line, h.text, CASE WHEN fresh THEN 2 WHEN old THEN 1 WHEN s.state = 2 AND NOT ltrim(h.text) LIKE '{{%' THEN 1 WHEN s.state = 1 AND (h.text LIKE ' %' OR h.text = 'stack backtrace:' OR h.text LIKE 'note: %') THEN 1 ELSE 0 END AS st,
+CASE WHEN fresh OR old THEN h.line WHEN (s.state = 2 AND NOT ltrim(h.text) LIKE '{{%') OR (s.state = 1 AND (h.text LIKE ' %' OR h.text = 'stack backtrace:' OR h.text LIKE 'note: %')) THEN s.head END FROM s JOIN h ON h.file = s.file AND h.rn = s.rn + 1)
+SELECT file, line, 'line' AS kind, text AS message, NULL AS "full" FROM s WHERE head IS NULL UNION ALL
+SELECT file, head, 'panic', 'thread ''' || regexp_extract(min(text ORDER BY line) FILTER (line = head), '^thread ''([^'']*)''', 1) || ''' panicked at ' || coalesce(nullif(regexp_extract(max(text) FILTER (line = head), 'panicked at ([^'']+):$', 1), ''), regexp_extract(max(text) FILTER (line = head), ''', ([^'']+)$', 1)) || ': ' || coalesce(nullif(regexp_extract(max(text) FILTER (line = head), 'panicked at ''(.*)'', ', 1), ''), trim(coalesce(max(text) FILTER (line = head + 1 AND text LIKE ' payload%'), ''))), string_agg(text, chr(10) ORDER BY line) FROM s WHERE head IS NOT NULL GROUP BY file, head""")
+def _(s, d):
+    k, u, kind = F.col("event_id") % 10, F.col("user_id"), F.col("event_type")
+    text = (
+        F.when(k == 1, F.concat(F.lit("thread 't"), u % 8, F.lit("' panicked at src/"), kind, F.lit(".rs:"), u % 90, F.lit(":5:")))
+        .when((k == 2) & (u % 5 == 0), '{"level":"ERROR"}').when(k == 2, F.concat(F.lit(" payload "), u))
+        .when((k == 3) & (u % 7 == 0), "frame not indented").when(k == 3, "stack backtrace:")
+        .when(k == 4, F.concat(F.lit("   0: "), kind)).when(k == 5, "note: run again")
+        .when(k == 7, F.concat(F.lit("thread 'main' panicked at '"), kind, F.lit("', src/m.rs:3")))
+        .when((k == 8) & (u % 2 == 0), "  at src/m.rs").otherwise(F.concat(F.lit("line "), "event_id"))
+    )
+    lines = read(s, d, "events").select(F.lit("n").alias("node"), F.concat(F.lit("f"), F.floor(F.col("event_id") / 10)).alias("file"), F.col("event_id").alias("line"), text.alias("text"))
+    return parse.fold_panics(lines).select("file", "line", "kind", F.col("text").alias("message"), F.element_at("fields", "panic_full").alias("full"))
 
 
 @R.query("fn_redact_hash", "SELECT c_custkey, 'h:' || substr(sha256(c_name), 1, 16) AS h FROM customer")
@@ -172,17 +193,18 @@ def _(s, d):
     return read(s, d, "customer").select("c_custkey", redact.hashed(F.col("c_name")).alias("h"))
 
 
-@R.query("fn_redact_text", "SELECT c_custkey, 'user=h:' || substr(sha256(c_name), 1, 16) || ' from h:' || substr(sha256('10.0.0.' || (c_custkey % 200)), 1, 16) || ' ok' AS t FROM customer")
+@R.query("fn_redact_text", "SELECT c_custkey, 'user: h:' || substr(sha256(c_name), 1, 16) || ', accessKey=h:' || substr(sha256('AK' || c_custkey), 1, 16) || ' from h:' || substr(sha256('10.0.0.' || (c_custkey % 200) || ':9000'), 1, 16) || ' by h:' || substr(sha256('2001:db8::' || (c_custkey % 10)), 1, 16) || ' at 10:11:12 secret=kept' AS t FROM customer")
 def _(s, d):
-    text = F.concat(F.lit("user="), F.col("c_name"), F.lit(" from 10.0.0."), (F.col("c_custkey") % 200).cast("string"), F.lit(" ok"))
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("user: "), "c_name", F.lit(", accessKey='AK"), k, F.lit("' from 10.0.0."), k % 200, F.lit(":9000 by 2001:db8::"), k % 10, F.lit(" at 10:11:12 secret=kept"))
     return read(s, d, "customer").select("c_custkey", redact.redact_text()(text).alias("t"))
 
 
-@R.query("fn_redact_field", "SELECT c_custkey, 'h:' || substr(sha256(c_name), 1, 16) AS secret, c_mktsegment AS plain FROM customer")
+@R.query("fn_redact_field", "SELECT c_custkey, 'h:' || substr(sha256(c_name), 1, 16) AS hidden, c_mktsegment AS plain FROM customer")
 def _(s, d):
-    return read(s, d, "customer").select("c_custkey", redact.redact_field(F.lit("Token"), F.col("c_name")).alias("secret"), redact.redact_field(F.lit("segment"), F.col("c_mktsegment")).alias("plain"))
+    return read(s, d, "customer").select("c_custkey", redact.redact_field(F.lit("accesskey"), F.col("c_name")).alias("hidden"), redact.redact_field(F.lit("token"), F.col("c_mktsegment")).alias("plain"))
 
 
-@R.query("fn_redact_prov", "SELECT page_id, 'h:' || substr(sha256(regexp_extract(url, '^(.*[/!])[^/!]*$', 1)), 1, 16) || '/' || regexp_extract(url, '([^/!]*)$', 1) AS p FROM pages")
+@R.query("fn_redact_prov", "SELECT page_id, CASE WHEN contains(url, '/') OR contains(url, '!') THEN 'h:' || substr(sha256(regexp_extract(url, '^(.*)[/!][^/!]*$', 1)), 1, 16) || regexp_extract(url, '([/!][^/!]*)$', 1) ELSE url END AS p FROM pages")
 def _(s, d):
     return read(s, d, "pages").select("page_id", redact.redact_provenance(F.col("url")).alias("p"))

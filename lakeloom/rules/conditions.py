@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import ipaddress
 from functools import reduce
 
 from pyspark.sql import Column
@@ -91,22 +92,41 @@ def null_condition(context: Column, key: str, absent: bool) -> Column:
 
 
 def ipv4_number(v: Column) -> Column:
-    part = lambda i: F.regexp_extract(v, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).try_cast("bigint")
+    part = lambda i: F.regexp_extract(v, r"^(0|[1-9]\d{0,2})\.(0|[1-9]\d{0,2})\.(0|[1-9]\d{0,2})\.(0|[1-9]\d{0,2})$", i).try_cast("bigint")
     ok = reduce(lambda a, b: a & b, [part(i) <= 255 for i in (1, 2, 3, 4)])
     return F.when(ok, part(1) * 16777216 + part(2) * 65536 + part(3) * 256 + part(4))
 
 
+def ipv6_hex(v: Column) -> Column:
+    """An IPv6 address as 32 hex digits, which sort as the addresses do; null if it is none. `::` stands for one group or more."""
+    tail = F.regexp_extract(v, r"^.*:([0-9.]*\.[0-9.]*)$", 1)
+    n = ipv4_number(tail)
+    groups4 = F.concat(F.substr(v, F.lit(1), F.length(v) - F.length(tail)), F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n % 65536)))
+    text = F.lower(F.when(tail == "", v).otherwise(groups4))
+    halves = F.split(text, "::")
+    groups = lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ":"))
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    count = F.size(left) + F.size(right)
+    ok = ((F.size(halves) == 1) & (count == 8)) | ((F.size(halves) == 2) & (count <= 7))
+    ok = ok & F.forall(F.concat(left, right), lambda g: F.rlike(g, F.lit("^[0-9a-f]{1,4}$")))
+    wide = lambda a: F.array_join(F.transform(a, lambda g: F.lpad(g, 4, "0")), "")
+    return F.when(ok, F.concat(wide(left), F.repeat(F.lit("0000"), 8 - count), wide(right)))
+
+
 def ip_condition(context: Column, key: str, networks: list[str], negate: bool = False) -> Column:
-    """Any value in any network, in order: an unreadable value before the first hit makes it false. A bare address is a /32."""
-    bounds = []
+    """Any value in any network, in order: an unreadable value before the first hit makes it false. A bare address is a /32.
+
+    IPv4 and IPv6 addresses are only in networks of their own kind.
+    """
+    four, six = [], []
     for n in networks:
-        address, _, bits = n.partition("/")
-        size = 1 << (32 - int(bits or 32))
-        start = sum(int(p) << s for p, s in zip(address.split("."), (24, 16, 8, 0))) // size * size
-        bounds.append((start, start + size))
-    values = _values(context, key)
-    state = lambda v: F.when(ipv4_number(v).isNull(), "bad").when(reduce(lambda a, b: a | b, [ipv4_number(v).between(lo, hi - 1) for lo, hi in bounds]), "hit").otherwise("miss")
-    first = F.get(F.filter(F.transform(values, state), lambda x: x != "miss"), F.lit(0))
+        net = ipaddress.ip_network(n if "/" in n else f"{n}/32", strict=False)
+        (four if net.version == 4 else six).append((int(net.network_address), int(net.broadcast_address)))
+    some = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
+    in4 = lambda v: some([ipv4_number(v).between(lo, hi) for lo, hi in four])
+    in6 = lambda v: some([ipv6_hex(v).between(f"{lo:032x}", f"{hi:032x}") for lo, hi in six])
+    state = lambda v: F.when(ipv4_number(v).isNotNull(), F.when(in4(v), "hit").otherwise("miss")).when(ipv6_hex(v).isNull(), "bad").when(in6(v), "hit").otherwise("miss")
+    first = F.get(F.filter(F.transform(_values(context, key), state), lambda x: x != "miss"), F.lit(0))
     hit = F.coalesce(first == "hit", F.lit(False))
     return ~hit if negate else hit
 

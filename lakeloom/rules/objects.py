@@ -64,13 +64,12 @@ def check_transition(t: dict) -> str | None:
 
 
 def expire_noncurrent(versions: DataFrame, key: str, order: list[Column], keep: int, old_enough: Column, can_delete: Column) -> DataFrame:
-    """Noncurrent versions from the newest: the first `keep` that are old enough are spared, and so is whatever can't be deleted.
+    """Noncurrent versions from the newest: one goes if it is old enough, can be deleted, and `keep` newer ones were spared.
 
-    A version that is spared because it can't be deleted counts among those kept, so each decision depends on those
-    before it: of the old enough ones, the first `keep` stay anyhow, and further ones go unless they can't.
+    Every version that stays counts as spared, be it young, blocked or within `keep`. So none goes before `keep` are
+    spared, which are the first `keep`, and from there on that bound is met: a row number says the same as the count.
     """
-    w = W.partitionBy(key).orderBy(*order)
-    rank = F.sum(old_enough.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))
+    rank = F.row_number().over(W.partitionBy(key).orderBy(*order))
     return versions.withColumn("action", F.when(old_enough & (rank > keep) & can_delete, "DeleteVersion").otherwise("None"))
 
 

@@ -47,3 +47,16 @@ def prometheus(df: DataFrame, labels: list[str], metrics: list[str]) -> DataFram
     """(name, labels, value) rows."""
     tags = F.create_map(*[x for c in labels for x in (F.lit(c), F.col(c).cast("string"))])
     return df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("name"), tags.alias("labels"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m")).select("m.*")
+
+
+def rolling_seconds(rows: DataFrame, sec: str, counted: Column, spans: dict[str, int]) -> DataFrame:
+    """For each second that has rows, how many counted rows lie in the last `span` seconds and it, over all rows.
+
+    Rows are summed by second first; a window holds a slice of time and the seconds before it that its spans reach, so
+    slices are tasks of bounded size whatever the keys.
+    """
+    most = max(spans.values())
+    by_second = rows.groupBy(sec).agg(F.count_if(counted).alias("_n"))
+    sliced = by_second.withColumn("_own", F.floor(F.col(sec) / most)).withColumn("_slice", F.explode(F.array("_own", F.col("_own") + 1)))
+    w = lambda n: W.partitionBy("_slice").orderBy(sec).rangeBetween(-n, 0)
+    return sliced.select(sec, "_own", "_slice", *[F.sum("_n").over(w(n)).alias(k) for k, n in spans.items()]).where("_own = _slice").drop("_own", "_slice")

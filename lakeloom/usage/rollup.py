@@ -50,11 +50,27 @@ def checked_tree(edges: DataFrame, sizes: DataFrame, depth: int = 24) -> DataFra
     return sums.join(deeper, "top", "left").select(F.col("top").alias("node"), F.when((F.col("ok") == 1) & F.col("deeper").isNull(), F.col("bytes")).alias("bytes"))
 
 
-def compact(children: DataFrame, limit: int) -> DataFrame:
-    """Smallest subtrees of each parent collapse until no more than `limit` children are left. children(parent, node, objects)."""
-    w = W.partitionBy("parent").orderBy("objects", "node")
-    n = F.count("*").over(W.partitionBy("parent"))
-    return children.withColumn("collapsed", F.row_number().over(w) <= n - limit)
+def compact(nodes: DataFrame, root: str, limit: int, compact_root: bool = False) -> DataFrame:
+    """Collapses subtrees, those of fewest objects first, until the root has no more than `limit` descendants.
+
+    nodes(node, objects) with whole paths, as tree() gives them. Returns the nodes that are left, with `collapsed`.
+    A node has no more objects than its ancestors, so its own subtree is collapsed before theirs; what a collapse then
+    takes away are the node's children. So nodes collapse in order while their children so far are too few. The
+    running sum goes by classes of objects (about a thousand), then inside each.
+    """
+    depth = F.size(F.split("node", "/"))
+    parent = F.regexp_extract("node", "^(.*)/[^/]*$", 1)
+    t = nodes.select("node", "objects", depth.alias("depth"), F.when(depth > 1, parent).alias("parent"))
+    inner = t.join(t.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("children")), "node").withColumn("class", F.floor(F.log2(F.greatest("objects", F.lit(1))) * 16))
+    classes = inner.groupBy("class").agg(F.sum("children").alias("s"))
+    starts = classes.select("class", F.coalesce(F.sum("s").over(W.orderBy("class").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    inside = W.partitionBy("class").orderBy("objects", F.desc("depth"), "node").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("children").over(inside), F.lit(0))
+    total = t.agg(F.count("*").alias("n"))
+    ordered = inner.withColumn("before", before).join(F.broadcast(starts), "class").crossJoin(F.broadcast(total))  # one row
+    chosen = ordered.where((F.col("before") + F.col("start") < F.col("n") - 1 - limit) & ((F.col("node") != root) | F.lit(compact_root))).select("node")
+    left = t.join(chosen.withColumnRenamed("node", "parent"), "parent", "left_anti")
+    return left.join(chosen.withColumn("collapsed", F.lit(True)), "node", "left").select("node", "objects", F.coalesce("collapsed", F.lit(False)).alias("collapsed"))
 
 
 def top_prefixes(objects: DataFrame, prefix: Column, size: str, most: int) -> DataFrame:
