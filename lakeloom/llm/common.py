@@ -75,9 +75,12 @@ def discard(*tables: DataFrame) -> None:
     """Deletes tables of materialise() which nothing reads any more; other tables are left alone."""
     for df in tables:
         if path := df.__dict__.pop("written", None):
-            jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            delete_path(df.sparkSession, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def crc_mod(col: Column, m: int) -> Column:

@@ -1,41 +1,50 @@
 """LM scoring: a Katz backoff model of words, Good-Turing discounted, with exactly normalised backoff weights.
 
-Tokens are a text's words and one end. Counts of every token and of every pair of tokens (the start is a history) of
-the training documents are written to tables in the shared folder. Counts up to GT_MAX are discounted by Good-Turing
-(where the counts of counts allow it, else by one half); larger counts lose ABSOLUTE, so that every history keeps mass
-for words not seen after it. What discounting frees goes to the words not seen after the history in proportion to
-their unigrams, and at the lowest level to the unknown word:
+Tokens are a text's words and one end. Every token and every pair of tokens (the start is a history) of the training
+documents is counted. Counts up to GT_MAX are discounted by Good-Turing (where the counts of counts allow it, else by
+one half); larger counts lose ABSOLUTE, so that every history keeps mass for words not seen after it. What discounting
+frees goes to the words not seen after the history in proportion to their unigrams, and at the lowest level to the
+unknown word:
 
     P(w | h) = d(c) c(h w) / c(h)    if the bigram has been seen
              = a(h) P(w)             otherwise, with a(h) = 1 for histories that have not been seen
 
-A scoring task evaluates each token by backing off, from what is sent to all: words, backoff weights and bigrams of at
-least SENT_SHARE of the tokens (at most 1 / SENT_SHARE each). Rarer words, histories and bigrams it asks for by key,
-once per document; the keys are joined with the tables, and the differences summed per document. So the share decides
-only where a value comes from; the model and the scores don't depend on it.
+The model's tables are partitioned: words by word, histories by history, bigrams by bucket (of the history; of the
+pair for histories of SPLIT tokens or more; of the word for rare words). No task sees a whole table. Documents are
+read in groups of about GROUP tokens. A group asks each bucket for its distinct bigrams, with its own counts of them
+from training documents, so one shuffle both sums the counts and carries the questions; a bucket replies with a count
+for each in the same order. Bigrams that were not seen back off: their word's probability meets its history's weight
+by a join. Then each group adds up, token by token, what its documents score. A bigram takes part once a group however
+often it stands there, so a frequent one is no hot key.
+
+Words of at least SENT_SHARE of the tokens (at most 1 / SENT_SHARE) are sent to all tasks with their counts, and are
+numbers in the questions; rarer ones are hashes and counted in the buckets. That decides only where a value comes
+from; the model and the scores don't depend on it.
 
 Defined cases: null is an empty text, which has the end as its one token; repeated rows give a row each and count
-each for training; null ids are allowed (training rows by the checksum of the empty text); without training rows the
-unknown word has probability 1; an empty table gives an empty result; other columns go.
+each for training; null and shared ids are allowed (training rows by the checksum of the id as text, null as the empty
+text); a very long text makes a group of its own; without training rows the unknown word has probability 1; an empty
+table gives an empty result; other columns go.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import BLANKS, Tokens, columns, crc_mod, materialise, mix, pair_hash, table
+from lakeloom.llm.common import BLANKS, Tokens, columns, crc_mod, delete_path, discard, materialise, mix, pair_hash, parallelism, shared_dir, table
 
-SENT_SHARE = 1e-6
+SENT_SHARE = 3e-7
 GT_MAX, ABSOLUTE = 5, 0.05
 END, START = np.uint64(1), np.uint64(2)
-#: Tokens that a counting task sums at once.
-COUNTED = 1 << 21
-#: A key is (h, w) for a bigram, (0, w) for a word and (h, 0) for a history; 0 is no token. No key has the end as history.
-ASKED = "doc_id long, mark int, h long, w long, n_tokens long, n_known long, base double, score double"
+#: Tokens of a group of documents and, about, of a bucket of bigrams; histories of as many tokens as SPLIT are dealt to several buckets.
+GROUP, BUCKET, SPLIT = 1 << 21, 1 << 21, 1 << 20
+#: Codes of rare words have this bit; those of words sent to all are their places.
+RARE = np.uint64(1 << 63)
 
 
 def discounts(counts_of_counts: dict[int, int]) -> list[float]:
@@ -60,40 +69,52 @@ def discounted(c, d: list[float]):
 
 
 class Vocabulary:
-    """Words common enough to be sent to all: hashes in order, counts, unigram probabilities."""
+    """Words common enough to be sent to all: hashes in order, counts, log10 of their unigram probabilities."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, d: list[float], unknown: float):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, starts: int, d: list[float], unknown: float):
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
-        self.total, self.distinct, self.d, self.unknown = total, distinct, d, unknown
+        self.total, self.distinct, self.d = total, distinct, d
+        self.start = np.uint64(len(words))  # the start's code as a history
         self.p = discounted(self.counts, d) / max(1, total)
-        self.start = len(words) + 1  # the start's place as a history; the place before it is for other words
+        self.unknown = unknown
+        self.log_c = np.log10(np.maximum(1, np.append(self.counts, starts)))  # by code, the start among them
+        self.split = np.append(self.counts, starts) >= SPLIT
+        self.split[-1] = True
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Places of the words, len(words) for others."""
+    def codes(self, h: np.ndarray) -> np.ndarray:
         if not len(self.words):
-            return np.zeros(len(h), np.int64)
+            return h | RARE
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at, len(self.words))
+        return np.where(self.words[at] == h, at.astype(np.uint64), h | RARE)
+
+    def log_p(self, w: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """log10 P(w) by code; count is that of rare words, 0 for unknown ones."""
+        return np.log10(np.maximum(1e-300, self.prob(w, count)))
+
+    def prob(self, w: np.ndarray, count: np.ndarray) -> np.ndarray:
+        rare = (w & RARE) > 0
+        out = np.where(count > 0, discounted(count, self.d) / max(1, self.total), self.unknown)
+        out[~rare] = self.p[w[~rare].astype(np.int64)]
+        return out
 
-    def find_history(self, h: np.ndarray) -> np.ndarray:
-        return np.where(h == START, self.start, self.find(h))
 
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all first ones, then all second ones: high bytes are alike, so they compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
-class Sent:
-    """What scoring tasks know of bigrams: log10 a(h) by place, and the frequent ones: keys of places in order, differences."""
 
-    def __init__(self, log_a: np.ndarray, keys: np.ndarray, delta: np.ndarray):
-        order = np.argsort(keys)
-        self.log_a, self.keys, self.delta = log_a, keys[order], delta[order]
+class Packed:
+    """Reads arrays back in the order in which planes() wrote them."""
 
-    def find(self, key: np.ndarray):
-        """Whether each bigram is among them, and its difference (0 for others)."""
-        if not len(self.keys):
-            return np.zeros(len(key), bool), np.zeros(len(key))
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        there = self.keys[at] == key
-        return there, np.where(there, self.delta[at], 0.0)
+    def __init__(self, raw: bytes):
+        self.raw, self.at = np.frombuffer(raw, np.uint8), 0
+
+    def take(self, n: int, kind) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        x = self.raw[self.at : self.at + n * size].reshape(size, n)
+        self.at += n * size
+        return np.ascontiguousarray(x.T).reshape(-1).view(kind)
 
 
 def sequences(tokens: Tokens, column):
@@ -124,165 +145,231 @@ def after_start(x: np.ndarray, ends: np.ndarray, start) -> np.ndarray:
     return out
 
 
-def runs(h: np.ndarray, w: np.ndarray, row: np.ndarray | None = None):
-    """An order that brings equal (row, h, w) together, the first of each run in it, and the runs' lengths."""
-    k = pair_hash(h, w)  # equal hashes of different pairs make more runs, not wrong ones
-    order = np.argsort(k) if row is None else np.lexsort((k, row))
-    new = np.ones(len(order), bool)
-    for x in (h, w) if row is None else (h, w, row):
-        x = x[order]
-        new[1:] &= x[1:] == x[:-1]
-    new[1:] = ~new[1:]
-    first = np.flatnonzero(new)
-    return order[first], np.diff(np.append(first, len(order)))
+def ask(vocabulary, buckets: int):
+    """Rows of (doc_id, text, training) to groups: a row of its documents (kind 0), and one for each bucket it asks (kind 1)."""
 
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        tokens, v, made = Tokens(BLANKS), vocabulary.value, 0
+
+        def group(parts):
+            nonlocal made
+            g = (TaskContext.get().partitionId() << 32) + made
+            made += 1
+            ids, none, train, code, ends, counts = zip(*parts)
+            h = np.concatenate([after_start(c, e, v.start) for c, e in zip(code, ends)])
+            w, n = np.concatenate(code), np.concatenate(counts)
+            train = np.repeat(np.concatenate(train), n)
+            start = np.concatenate([[0], np.cumsum(n)[:-1]])
+            rare_w, rare_h = (w & RARE) > 0, (h & RARE) > 0
+            key = np.where(rare_w | rare_h, pair_hash(h, w) | RARE, (h << np.uint64(32)) | w)
+            key, first, place = np.unique(key, return_index=True, return_inverse=True)
+            count = np.bincount(place, train, len(key)).astype(np.uint32)
+            h1, w1 = h[first], w[first]
+            by_pair = (h1 & RARE) == 0
+            by_pair[by_pair] = v.split[h1[by_pair].astype(np.int64)]
+            bucket = (mix(np.where((w1 & RARE) > 0, w1, np.where(by_pair, key, h1))) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            key, h1, w1, count, bucket = key[order], h1[order], w1[order], count[order], bucket[order]
+            known = ~rare_w
+            log_count = np.zeros(len(w))
+            log_count[known] = np.log10(v.counts[w[known].astype(np.int64)] + 1.0)
+            log_h = np.zeros(len(w))
+            log_h[~rare_h] = -v.log_c[h[~rare_h].astype(np.int64)]
+            total = lambda x: np.add.reduceat(x, start)
+            docs = [np.array([len(n), len(w)], np.int64), np.concatenate(ids), np.concatenate(none), n, total(known.astype(np.int64)), total(log_count), total(log_h), rank[place]]
+            rows = [(0, -1, b"".join(map(planes, docs)))]
+            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
+                mid = lo + int(np.searchsorted(key[lo:hi], RARE))  # known pairs come first
+                sizes = np.array([mid - lo, hi - mid], np.int64)
+                rows.append((1, int(bucket[lo]), b"".join(map(planes, [sizes, np.diff(key[lo:mid], prepend=np.uint64(0)), h1[mid:hi], w1[mid:hi], count[lo:hi]]))))
+            kind, at, blob = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), g, np.int64)), pa.array(kind, pa.int32()), pa.array(at, pa.int32()), pa.array(blob, pa.binary())], ["g", "kind", "bucket", "blob"])
+
+        parts, size = [], 0
+        for b in batches:
+            ids, train = b.column(0), np.array(b.column(2)).astype(np.uint8)
+            none = np.array(ids.is_null()).astype(np.uint8)
+            ids = ids.fill_null(0).to_numpy()
+            for lo, hi, t, ends, _ in sequences(tokens, b.column(1)):
+                parts.append((ids[lo:hi], none[lo:hi], train[lo:hi], v.codes(t), ends, np.diff(ends, prepend=-1).astype(np.int64)))
+                size += len(t)
+                if size >= GROUP:
+                    yield group(parts)
+                    parts, size = [], 0
+        if parts:
+            yield group(parts)
 
-def count_pairs(batches):
-    import pyarrow as pa
+    return run
 
-    tokens = Tokens(BLANKS)
 
-    def summed(parts):
-        h, w = (np.concatenate(x) for x in zip(*parts))
-        pick, c = runs(h, w)
-        return pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(w[pick].view(np.int64)), pa.array(c, pa.int64())], ["h", "w", "c"])
-
-    for b in batches:
-        parts, n = [], 0
-        for _, _, t, ends, _ in sequences(tokens, b.column(0)):
-            parts.append((after_start(t, ends, START), t))
-            n += len(t)
-            if n >= COUNTED:
-                yield summed(parts)
-                parts, n = [], 0
-        if parts:
-            yield summed(parts)
+REPLIES = "kind int, g long, bucket int, blob binary, place int, h long, value double, seen boolean, n array<long>, c_h long"
 
 
-def ask(vocabulary, sent):
-    """Emits a row of each document's own sums, and a row for each key it asks for."""
+def reply(vocabulary):
+    """Rows asked, sorted by (bucket, g). Kind 1 gives counts in the order asked, kind 2 a bigram that needs its history, kind 3 sums by history."""
 
     def run(batches):
         import pyarrow as pa
 
-        tokens, v, known = Tokens(BLANKS), vocabulary.value, sent.value
-        log_count = np.append(np.log10(v.counts + 1.0), 0.0)
-        log_p = np.append(np.log10(v.p), math.log10(v.unknown) if v.unknown > 0 else -300.0)
+        v = vocabulary.value
+
+        def rows(kind, many, **found):
+            out = []
+            for name, t in (("g", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary()), ("place", pa.int32()), ("h", pa.int64()), ("value", pa.float64()), ("seen", pa.bool_()), ("n", pa.list_(pa.int64())), ("c_h", pa.int64())):
+                x = found.get(name)
+                out.append(pa.nulls(many, t) if x is None else x if isinstance(x, pa.Array) else pa.array(x, t))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(many, kind, np.int32)), *out], ["kind", "g", "bucket", "blob", "place", "h", "value", "seen", "n", "c_h"])
+
+        def bucket(at: int, asked: list[tuple[int, bytes]]):
+            keys, hs, ws, counts, sizes = [], [], [], [], []
+            for _, raw in asked:
+                x = Packed(raw)
+                a, b = x.take(2, np.int64).tolist()
+                key = np.cumsum(x.take(a, np.uint64), dtype=np.uint64)
+                h, w = x.take(b, np.uint64), x.take(b, np.uint64)
+                keys.append(np.concatenate([key, pair_hash(h, w) | RARE]))
+                hs.append(np.concatenate([key >> np.uint64(32), h]))
+                ws.append(np.concatenate([key & np.uint64(0xFFFFFFFF), w]))
+                counts.append(x.take(a + b, np.uint32))
+                sizes.append((a, b))
+            key, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            h, w = np.concatenate(hs)[first], np.concatenate(ws)[first]
+            c = np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)
+            rare = (w & RARE) > 0
+            c_w = np.zeros(len(key), np.int64)  # of rare words, all of whose bigrams are here
+            if rare.any():
+                _, to = np.unique(w[rare], return_inverse=True)
+                c_w[rare] = np.bincount(to, c[rare]).astype(np.int64)[to]
+            lo = 0
+            for (g, _), (a, b) in zip(asked, sizes):
+                mine = place[lo : lo + a + b]
+                lo += a + b
+                blob = [np.array([a, b], np.int64), c[mine].astype(np.uint32), c_w[mine[a:]].astype(np.uint32)]
+                yield rows(1, 1, g=[g], bucket=[at], blob=[b"".join(map(planes, blob))])
+                open_ = np.flatnonzero((c[mine] == 0) | ((h[mine] & RARE) > 0))
+                if len(open_):
+                    u = mine[open_]
+                    seen = c[u] > 0
+                    value = np.where(seen, 0.0, v.log_p(w[u], c_w[u]))
+                    yield rows(2, len(u), g=np.full(len(u), g), bucket=np.full(len(u), at), place=open_, h=h[u].view(np.int64), value=value, seen=seen)
+            on = c > 0
+            if on.any():
+                h, c, p = h[on], c[on], v.prob(w[on], c_w[on])
+                own, to = np.unique(h, return_inverse=True)
+                n = np.stack([np.bincount(to, c == r, len(own)) for r in range(1, GT_MAX + 2)] + [np.bincount(to, c > GT_MAX + 1, len(own))], axis=1).astype(np.int64)
+                lists = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * (GT_MAX + 2), n.ravel())
+                yield rows(3, len(own), h=own.view(np.int64), value=np.bincount(to, p, len(own)), n=lists, c_h=np.bincount(to, c, len(own)).astype(np.int64))
+
+        at, asked = -1, []
         for b in batches:
-            ids, marks = b.column(0), b.column(2)
-            for lo, hi, t, ends, row in sequences(tokens, b.column(1)):
-                n = hi - lo
-                at, history = v.find(t), after_start(t, ends, START)
-                before = after_start(at, ends, v.start)
-                there, delta = known.find((before << 32) | at)
-                rare, rare_before = at == len(v.words), before == len(v.words)
-                total = lambda x: np.bincount(row, x, n)
-                own = [np.bincount(row, minlength=n), total(~rare).astype(np.int64), total(log_count[at]), total(log_p[at] + known.log_a[before] + delta)]
-                asks = [(np.uint64(0), t, rare), (history, np.uint64(0), rare_before), (history, t, ~there)]
-                h, w, by = (np.concatenate(x) for x in zip(*[(np.broadcast_to(h, len(t))[on], np.broadcast_to(w, len(t))[on], row[on]) for h, w, on in asks]))
-                pick, times = runs(h, w, by)
-                m = len(pick)
-                none = mix(np.arange(n, dtype=np.uint64) + np.uint64(lo))
-                zero = np.zeros(m)
-                rows = pa.array(np.concatenate([np.arange(n), by[pick]]) + lo)
-                # in a row that asks, n_known carries how often the key stands in the document
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(rows),
-                        marks.take(rows),
-                        pa.array(np.concatenate([np.full(n, END), h[pick]]).view(np.int64)),
-                        pa.array(np.concatenate([none, w[pick]]).view(np.int64)),
-                        pa.array(np.concatenate([own[0], np.zeros(m, np.int64)])),
-                        pa.array(np.concatenate([own[1], times])),
-                        pa.array(np.concatenate([own[2], zero])),
-                        pa.array(np.concatenate([own[3], zero])),
-                    ],
-                    ["doc_id", "mark", "h", "w", "n_tokens", "n_known", "base", "score"],
-                )
+            for g, k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if k != at:
+                    if asked:
+                        yield from bucket(at, asked)
+                    at, asked = k, []
+                asked.append((g, raw))
+        if asked:
+            yield from bucket(at, asked)
 
     return run
 
 
-def joined(rows: DataFrame, key: str, values: DataFrame, common) -> DataFrame:
-    """Inner join by one key. Values of common keys (at most 1 / SENT_SHARE) are sent to all; other keys have few rows each."""
-    sent = F.broadcast(values.where(common))
-    others = rows.join(F.broadcast(values.where(common).select(key)), key, "left_anti").join(values.where(~common).hint("shuffle_hash"), key)
-    return rows.join(sent, key).unionByName(others)
+SCORED = "doc_id long, n_tokens long, n_known long, base double, score double"
+
+
+def add_up(d: list[float]):
+    """A group's documents (kind 0) with the replies to it: sums over each document's tokens."""
+
+    def run(left, right):
+        import pyarrow as pa
 
+        right = right.sort_by([("bucket", "ascending"), ("kind", "ascending")])
+        kind = right.column("kind").to_numpy()
+        counts, known, base, offset, at = [], [], [], {}, 0
+        said = right.filter(pa.array(kind == 1))
+        for k, raw in zip(said.column("bucket").to_pylist(), said.column("blob").to_pylist()):
+            x = Packed(raw)
+            a, b = x.take(2, np.int64).tolist()
+            counts.append(x.take(a + b, np.uint32))
+            c_w = x.take(b, np.uint32)
+            known.append(np.concatenate([np.zeros(a), c_w > 0]))
+            base.append(np.concatenate([np.zeros(a), np.log10(c_w + 1.0)]))
+            offset[k], at = at, at + a + b
+        counts = np.concatenate(counts).astype(np.int64)
+        value = np.log10(np.where(counts > 0, discounted(counts, d), 1.0))
+        more = right.filter(pa.array(kind == 2))
+        if more.num_rows:
+            value[np.array([offset[k] for k in more.column("bucket").to_pylist()]) + more.column("place").to_numpy()] += more.column("value").to_numpy()
+        known, base, out = np.concatenate(known), np.concatenate(base), []
+        for raw in left.column("blob").to_pylist():
+            x = Packed(raw)
+            docs, size = x.take(2, np.int64).tolist()
+            ids, none, n = x.take(docs, np.int64), x.take(docs, np.uint8), x.take(docs, np.int64)
+            n_known, own_base, own = x.take(docs, np.int64), x.take(docs, np.float64), x.take(docs, np.float64)
+            place = x.take(size, np.uint32)
+            total = lambda y: np.add.reduceat(y[place], np.concatenate([[0], np.cumsum(n)[:-1]]))  # noqa: E731, B023
+            out.append([pa.array(ids, mask=none > 0), pa.array(n), pa.array(n_known + total(known).astype(np.int64)), pa.array(own_base + total(base)), pa.array(own + total(value))])
+        return pa.Table.from_arrays([pa.chunked_array(c) for c in zip(*out)], ["doc_id", "n_tokens", "n_known", "base", "score"])
 
-def train(docs: DataFrame):
-    """docs(doc_id, text) of training. Returns (vocabulary broadcast, Sent broadcast, table of differences by key)."""
-    spark = docs.sparkSession
-    text = docs.select("text")
+    return run
+
+
+def train_words(text: DataFrame):
+    """The table of words, and the vocabulary for all tasks."""
     words = materialise(text.mapInArrow(count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "unigrams")
-    sums = words.agg(F.sum("c"), F.count("*"), *[F.sum((F.col("c") == r).cast("long")) for r in range(1, GT_MAX + 2)]).first()
-    total, distinct = int(sums[0] or 0), int(sums[1])
-    least = SENT_SHARE * total
-    d1 = discounts({r: int(sums[1 + r] or 0) for r in range(1, GT_MAX + 2)})
-    kept = float(words.agg(F.sum(discounted(F.col("c"), d1))).first()[0] or 0.0)
-    unknown = 1.0 - kept / total if total else 1.0
-    common = words.where(F.col("c") >= least).toArrow()  # at most 1 / SENT_SHARE
-    v = Vocabulary(common["w"].to_numpy().view(np.uint64), common["c"].to_numpy(), total, distinct, d1, unknown)
-    vocabulary = spark.sparkContext.broadcast(v)
-    pairs = materialise(text.mapInArrow(count_pairs, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c")), "bigrams")
-    counts = {int(r["c"]): int(r["n"]) for r in pairs.where(F.col("c") <= GT_MAX + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
-    d2 = discounts(counts)
-    left = discounted(F.col("c"), d2)
-    p = words.select("w", F.col("c").alias("c_w"), (discounted(F.col("c"), d1) / max(1, total)).alias("p"))
-    pairs = joined(pairs, "w", p, F.col("c_w") >= least)
-    # each token but the end stands before another, so the bigrams of a history are as many as it has tokens
-    sums = pairs.groupBy("h").agg(F.sum("c").alias("c_h"), F.sum(F.col("c") - left).alias("free"), F.sum("p").alias("mass"))
-    log_a = F.log10(F.greatest(F.lit(1e-300), F.col("free") / F.col("c_h"))) - F.log10(F.greatest(F.lit(1e-300), 1.0 - F.col("mass")))
-    histories = materialise(sums.select("h", "c_h", log_a.alias("log_a")), "histories")
-    often = (F.col("c_h") >= least) | (F.col("h") == int(START))
-    delta = F.log10(left) - F.log10("c_h") - F.col("log_a") - F.log10("p")
-    pairs = joined(pairs, "h", histories, often).select("h", "w", "c", delta.alias("delta"))
-    weights = histories.where(often).select("h", "log_a").toArrow()  # at most 1 / SENT_SHARE + 1
-    log_a = np.zeros(v.start + 1)
-    log_a[v.find_history(weights["h"].to_numpy().view(np.uint64))] = weights["log_a"].to_numpy()
-    frequent = pairs.where(F.col("c") >= least).toArrow()  # at most 1 / SENT_SHARE; their words are common
-    h, w = (frequent[k].to_numpy().view(np.uint64) for k in ("h", "w"))
-    sent = spark.sparkContext.broadcast(Sent(log_a, (v.find_history(h) << 32) | v.find(w), frequent["delta"].to_numpy()))
-    log_unknown = math.log10(unknown) if unknown > 0 else -300.0
-    none, zero = F.lit(0).cast("long"), F.lit(0.0)
-    rare = words.where(F.col("c") < least).select(
-        none.alias("h"),
-        "w",
-        F.lit(1).alias("d_known"),
-        F.log10(F.col("c") + 1.0).alias("d_base"),
-        (F.log10(discounted(F.col("c"), d1) / max(1, total)) - log_unknown).alias("d_score"),
-    )
-    rare = rare.union(histories.where(~often).select("h", none, F.lit(0), zero, "log_a"))
-    return vocabulary, sent, rare.union(pairs.where(F.col("c") < least).select("h", "w", F.lit(0), zero, "delta"))
+    sums = words.agg(F.sum("c"), F.count("*"), F.max(F.when(F.col("w") == int(END), F.col("c"))), *[F.sum((F.col("c") == r).cast("long")) for r in range(1, GT_MAX + 2)]).first()
+    total, distinct, starts = int(sums[0] or 0), int(sums[1]), int(sums[2] or 0)
+    d = discounts({r: int(sums[2 + r] or 0) for r in range(1, GT_MAX + 2)})
+    kept = float(words.agg(F.sum(discounted(F.col("c"), d))).first()[0] or 0.0)
+    common = words.where(F.col("c") >= SENT_SHARE * total).toArrow()  # at most 1 / SENT_SHARE
+    v = Vocabulary(common["w"].to_numpy().view(np.uint64), common["c"].to_numpy(), total, distinct, starts, d, max(0.0, 1.0 - kept / total) if total else 1.0)
+    return words, v
 
 
 def score_documents(docs: DataFrame, training) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score. training: Column on doc_id."""
-    docs = columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    vocabulary, sent, tables = train(docs.where(training))
-    v = vocabulary.value
-    asked = docs.select("doc_id", "text", F.hash("text").alias("mark")).mapInArrow(ask(vocabulary, sent), ASKED)
-    got = asked.join(tables.hint("shuffle_hash"), ["h", "w"], "left")
-    own = F.col("n_tokens") > 0
-    times = F.when(~own, F.col("n_known")).otherwise(0)
-    known = F.sum(F.when(own, F.col("n_known")).otherwise(F.col("n_known") * F.coalesce("d_known", F.lit(0))))
-    sums = got.groupBy("doc_id", "mark").agg(
-        F.sum(own.cast("long")).alias("copies"),
-        F.sum("n_tokens").alias("n_tokens"),
-        known.alias("n_known"),
-        F.sum(F.col("base") + times * F.coalesce("d_base", F.lit(0.0))).alias("base"),
-        F.sum(F.col("score") + times * F.coalesce("d_score", F.lit(0.0))).alias("score"),
-    )
-    each = sums.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))  # rows that are equal were summed together
-    n = (F.col("n_tokens") / F.col("copies")).cast("long")
-    return each.select(
-        "doc_id",
-        n.alias("n_tokens"),
-        (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"),
-        F.lit(v.total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("copies") - n * math.log10(v.total + v.distinct + 1)).alias("base_score"),
-        (F.col("score") / F.col("copies")).alias("score"),
-    )
+    spark, n = docs.sparkSession, parallelism(docs)
+    docs = columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("training", training)
+    words, v = train_words(docs.where("training").select("text"))
+    vocabulary = spark.sparkContext.broadcast(v)
+    buckets = max(4 * n, -(-v.total // BUCKET))
+
+    # written once, by group, so that questions and documents are of the same reading, and the groups' files are joined where they lie
+    name, path = f"katz_{uuid.uuid4().hex}", f"{shared_dir(spark)}/lakeloom/katz-groups-{uuid.uuid4().hex}"
+    asked = docs.select("doc_id", "text", "training").mapInArrow(ask(vocabulary, buckets), "g long, kind int, bucket int, blob binary")
+    asked.write.partitionBy("kind").bucketBy(n, "g").option("compression", "zstd").option("path", path).saveAsTable(name)
+    groups = spark.table(name)
+    questions = groups.where("kind = 1").select("g", "bucket", "blob").repartition(n, "bucket").sortWithinPartitions("bucket", "g")
+    replies = materialise(questions.mapInArrow(reply(vocabulary), REPLIES), "bigrams")
+    delete_path(spark, f"{path}/kind=1")
+
+    sums = replies.where("kind = 3").groupBy("h").agg(F.sum("c_h").alias("c_h"), F.sum("value").alias("mass"), *[F.sum(F.col("n")[r]).alias(f"n{r + 1}") for r in range(GT_MAX + 2)])
+    sums = materialise(sums, "history-sums")
+    found = sums.agg(*[F.sum(f"n{r}") for r in range(1, GT_MAX + 2)]).first()
+    d2 = discounts({r: int(found[r - 1] or 0) for r in range(1, GT_MAX + 2)})
+    free = sum((F.col(f"n{r}") * (r * (1 - d2[r])) for r in range(1, GT_MAX + 1)), (F.col(f"n{GT_MAX + 1}") + F.col(f"n{GT_MAX + 2}")) * ABSOLUTE)
+    log_a = F.log10(F.greatest(F.lit(1e-300), free / F.col("c_h"))) - F.log10(F.greatest(F.lit(1e-300), 1.0 - F.col("mass")))
+    histories = materialise(sums.select("h", F.log10("c_h").alias("log_c"), log_a.alias("log_a")), "histories")
+
+    # a token was given 1 / c(h) where h is sent to all: rare histories get theirs here, and those backed off from give it back
+    log_c = F.coalesce("log_c", F.lit(0.0))
+    value = F.when(F.col("seen"), -log_c).otherwise(F.col("value") + F.coalesce("log_a", F.lit(0.0)) + F.when(F.col("h") < 0, 0.0).otherwise(log_c))
+    opened = replies.where("kind = 2").select("g", "bucket", "place", "h", "value", "seen").join(histories, "h", "left")
+    opened = opened.select("g", F.lit(2).alias("kind"), "bucket", F.lit(None).cast("binary").alias("blob"), "place", value.alias("value"))
+    got = replies.where("kind = 1").select("g", "kind", "bucket", "blob", "place", "value").union(opened)
+    scored = groups.where("kind = 0").select("g", "blob").groupBy("g").cogroup(got.groupBy("g")).applyInArrow(add_up(d2), SCORED)
+    scored = materialise(scored, "scores")
+    spark.sql(f"DROP TABLE {name}")
+    delete_path(spark, path)
+    discard(words, replies, sums, histories)
+    base = F.col("base") - F.col("n_tokens") * math.log10(v.total + v.distinct + 1)
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
