@@ -1,14 +1,15 @@
 """PII: a semi-Markov conditional random field over candidate segments, beside exact patterns.
 
-Patterns give the base spans (email, ip, card, phone), which always stay. Around every digit and at-sign that no base
-span covers, the text is cut into islands of tokens; candidate segments of at most MAX_TOKENS tokens are described by
-whole-span features, and dynamic programming over the island chooses boundaries and types jointly (the best sequence
+Patterns give the base spans (email, ip, card, phone), which always stay. Around digits and at-signs the text is cut
+into islands of all tokens that a segment with such a mark could reach; candidate segments of at most MAX_TOKENS
+tokens, clear of base spans, are described by whole-span features, and dynamic programming over the island chooses boundaries and types jointly (the best sequence
 of segments, everything else outside). What it finds is added. Outside of candidates the score is zero, so islands
 are independent and a text takes time in proportion to its length.
 
 The field is fitted by conditional likelihood (forward and backward sums over segments) on islands around base spans
 and on rewritten forms of them (no plus sign, other separators, spaced at-signs), and on islands without any: at most
-TRAIN_ISLANDS of each, of ISLAND_CHARS characters, from documents chosen by a hash of their id. Without any, nothing is added.
+TRAIN_ISLANDS of each, from documents chosen by a hash of their id, whatever their length. Without any, nothing is added.
+The sums of all islands of the sample run side by side, a token place at a time.
 
 Defined cases: null is an empty text; texts without digits and at-signs have no spans; repeated rows give a row each;
 null ids are allowed; an empty table gives an empty result; other columns go.
@@ -21,11 +22,12 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lakeloom.llm.common import carried, carried_schema, columns, table, with_carried
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS, TRAIN_DOCUMENTS, TRAIN_ISLANDS, ISLAND_CHARS = 16, 4000, 300, 200
+MAX_TOKENS, TRAIN_DOCUMENTS, TRAIN_ISLANDS = 16, 4000, 300
 FOUND = "base array<struct<kind:string,a:int,b:int>>, added array<struct<kind:string,a:int,b:int>>"
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,7 +37,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 EMAIL_WHOLE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+AROUND_AT = re.compile(r"\s*@\s*")
 MARK = re.compile(r"[0-9@]")
+RUN = re.compile(r"[0-9]+|@")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|[^A-Za-z0-9\s]")
 CUES = {"email": re.compile(r"(?i)mail|write|contact"), "ip": re.compile(r"(?i)\bip\b|host|server|address"), "card": re.compile(r"(?i)card|visa|account|pay"), "phone": re.compile(r"(?i)phone|tel|call|mobile|fax")}
 
@@ -80,24 +84,38 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---------------------------------------------------------------- islands, candidates, features
 
 
-def islands(text: str, pad: int = 2, most: int = 64) -> list[tuple[int, int]]:
-    """Stretches around marks: each mark's blank-separated word (up to `most` characters to each side); near ones join."""
+def _letter(c: str) -> bool:
+    return c.isascii() and c.isalpha()
+
+
+def tokens_back(text: str, p: int, n: int) -> int:
+    """Where the n tokens before p begin."""
+    while n and p:
+        same = _letter if _letter(text[p - 1]) else (lambda c: "0" <= c <= "9") if "0" <= text[p - 1] <= "9" else None
+        p -= 1
+        while same and p and same(text[p - 1]):
+            p -= 1
+        n -= 1
+    return p
+
+
+def islands(text: str) -> list[tuple[int, int]]:
+    """Stretches of MAX_TOKENS - 1 tokens to both sides of each run of marks; those that touch join.
+
+    What holds no candidate, with fewer than four digits and no at-sign, is left out.
+    """
     out: list[list[int]] = []
-    for m in MARK.finditer(text):
-        p = m.start()
-        if out and p < out[-1][1]:
-            continue
-        a = p
-        while a > 0 and p - a < most and not text[a - 1].isspace():
-            a -= 1
-        b = p + 1
-        while b < len(text) and b - p < most and not text[b].isspace():
-            b += 1
-        if out and a <= out[-1][1] + pad:
-            out[-1][1] = b
+    for m in RUN.finditer(text):
+        a, b = tokens_back(text, m.start(), MAX_TOKENS - 1), m.end()
+        for _ in range(MAX_TOKENS - 1):
+            if b == len(text):
+                break
+            b = TOKEN.match(text, b).end()
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
-    return [(a, b) for a, b in out]
+    return [(a, b) for a, b in out if text.find("@", a, b) >= 0 or len(digits_of(text[a:b])) >= 4]
 
 
 FEATURES = 26
@@ -111,7 +129,7 @@ def features(text: str, a: int, b: int, kinds=KINDS) -> list[int]:
     f.append(1 + (n < 7) * 0 + (7 <= n <= 9) + 2 * (10 <= n <= 11) + 3 * (12 <= n <= 15) + 4 * (16 <= n <= 19) + 5 * (n > 19))
     if "@" in s:
         f.append(7 if s.count("@") == 1 else 8)
-        if EMAIL_WHOLE.fullmatch("".join(s.split())):
+        if EMAIL_WHOLE.fullmatch(AROUND_AT.sub("@", s)):
             f.append(9)
     elif any(c.isalpha() for c in s):
         f.append(10)
@@ -247,47 +265,63 @@ def examples(samples: list[tuple[str, str, int, int]]):
     return out
 
 
+class Islands:
+    """Examples as arrays: each segment's island, first token, token after the last, and features (0 or 1)."""
+
+    def __init__(self, data):
+        self.size = np.array([len(bounds) - 1 for bounds, _, _ in data])
+        self.island = np.repeat(np.arange(len(data)), [len(segs) for _, segs, _ in data])
+        self.i = np.array([i for _, segs, _ in data for i, _, _ in segs])
+        self.j = np.array([j for _, segs, _ in data for _, j, _ in segs])
+        self.x = np.zeros((len(self.i), FEATURES))
+        for k, f in enumerate(f for _, segs, _ in data for _, _, f in segs):
+            self.x[k, f] = 1.0
+        first = np.concatenate([[0], np.cumsum([len(segs) for _, segs, _ in data])])
+        self.gold = [(int(first[n]) + k, kind) for n, (_, _, gold) in enumerate(data) for k, kind in gold]
+        places = np.arange(self.size.max() + 1)
+        self.ends, self.starts = ([np.flatnonzero(at == p) for p in places] for at in (self.j, self.i))
+
+    def sums(self, w: np.ndarray):
+        """exp of each segment's scores by kind, sums over the labelings of the tokens before and behind each place, and of all."""
+        e = np.exp(np.clip(self.x @ w.T, -30, 30))
+        weight, n = e.sum(axis=1), len(self.ends)
+        ahead, behind = np.ones((len(self.size), n)), np.zeros((len(self.size), n))
+        add = lambda on, x: np.bincount(self.island[on], x, len(self.size))
+        for p in range(1, n):
+            on = self.ends[p]
+            ahead[:, p] = ahead[:, p - 1] + add(on, ahead[self.island[on], self.i[on]] * weight[on])
+        for p in range(n - 1, -1, -1):
+            on = self.starts[p]
+            after = behind[:, p + 1] if p + 1 < n else 0.0
+            behind[:, p] = np.where(self.size == p, 1.0, after + add(on, weight[on] * behind[self.island[on], self.j[on]]))
+        return e, ahead, behind, behind[:, 0]
+
+
 def fit(samples: list[tuple[str, str, int, int]], rounds: int = 40) -> np.ndarray | None:
     """Weights kinds x features, by gradient ascent on the conditional likelihood with a quadratic penalty."""
     data = [x for x in examples(samples) if x[1]]
     if not any(x[2] for x in data):
         return None
+    t = Islands(data)
     w = np.zeros((len(KINDS), FEATURES))
     w[:, 0] = -2.0
     square = np.full_like(w, 1e-8)
     for _ in range(rounds):
-        grad = -0.02 * w
-        for bounds, segs, gold in data:
-            s, n = scores(segs, w), len(bounds)
-            e = np.exp(np.clip(s, -30, 30))
-            weight = e.sum(axis=1)
-            ahead, behind = np.zeros(n), np.zeros(n)  # sums over the labelings of the tokens before, and after
-            ahead[0] = behind[-1] = 1.0
-            by_end: dict[int, list[int]] = {}
-            by_start: dict[int, list[int]] = {}
-            for k, (i, j, _) in enumerate(segs):
-                by_end.setdefault(j, []).append(k)
-                by_start.setdefault(i, []).append(k)
-            for j in range(1, n):
-                ahead[j] = ahead[j - 1] + sum(ahead[segs[k][0]] * weight[k] for k in by_end.get(j, ()))
-            for i in range(n - 2, -1, -1):
-                behind[i] = behind[i + 1] + sum(weight[k] * behind[segs[k][1]] for k in by_start.get(i, ()))
-            for k, (i, j, f) in enumerate(segs):
-                p = ahead[i] * behind[j] * e[k] / ahead[-1]
-                if p.max() > 1e-4:
-                    grad[:, f] -= p[:, None]
-            for k, kind in gold:
-                grad[kind, segs[k][2]] += 1.0
+        e, ahead, behind, all_ = t.sums(w)
+        p = (ahead[t.island, t.i] * behind[t.island, t.j] / all_[t.island])[:, None] * e
+        grad = -0.02 * w - p.T @ t.x
+        for k, kind in t.gold:
+            grad[kind] += t.x[k]
         square += grad**2
         w += 0.8 * grad / np.sqrt(square)
     return w
 
 
 def training_samples(docs: DataFrame) -> list[tuple[str, str, int, int]]:
-    """Bounded: islands around base spans, from about TRAIN_DOCUMENTS documents chosen by a hash of their id."""
+    """Bounded: TRAIN_ISLANDS islands with and as many without base spans, of about TRAIN_DOCUMENTS documents chosen by a hash of their id."""
     n = docs.count()
     part = max(1, n // TRAIN_DOCUMENTS)
-    chosen = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0) & (F.octet_length("text") <= 65536) & F.col("text").rlike("[0-9@]"))
+    chosen = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0) & F.col("text").rlike("[0-9@]"))
 
     def cut(batches):
         import pyarrow as pa
@@ -295,20 +329,21 @@ def training_samples(docs: DataFrame) -> list[tuple[str, str, int, int]]:
         for b in batches:
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for kind, x, y in base_spans(text):
-                    if y - x <= 60:
-                        lo = max(0, x - 60)
-                        out.append((doc, text[lo : min(len(text), y + 60)][:ISLAND_CHARS], kind, x - lo, y - lo))
                 own = base_spans(text)
+                for kind, x, y in own:
+                    if len(TOKEN.findall(text, x, y)) <= MAX_TOKENS:  # others are no candidates
+                        lo = max(0, x - 60)
+                        out.append((doc, text[lo : y + 60], kind, x - lo, y - lo))
                 for x, y in islands(text):
-                    if y - x <= ISLAND_CHARS - 40 and not any(p < y and x < q for _, p, q in own):
+                    if not any(p < y and x < q for _, p, q in own):
                         lo = max(0, x - 20)
                         out.append((doc, text[lo : y + 20], "none", x - lo, y - lo))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()))], ["doc_id", "s", "kind", "a", "b"])
 
     cuts = chosen.mapInArrow(cut, "doc_id long, s string, kind string, a int, b int")
-    some = [cuts.where(c).orderBy(F.xxhash64("doc_id", "a"), "kind", "s").limit(TRAIN_ISLANDS) for c in ("kind <> 'none'", "kind = 'none'")]
-    return [(r["s"], r["kind"], r["a"], r["b"]) for r in some[0].union(some[1]).collect()]
+    first = W.partitionBy(F.col("kind") == "none").orderBy(F.xxhash64("doc_id", "a"), "kind", "s")
+    some = cuts.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= TRAIN_ISLANDS)
+    return [(r["s"], r["kind"], r["a"], r["b"]) for r in some.orderBy(F.col("kind") == "none", "rn").collect()]
 
 
 def find_pii(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
