@@ -4,12 +4,17 @@ Each stage takes (spark, docs, sf_dir) and returns a table; run() writes each as
 it again as the next stage's input. All but the last return the columns of documents.
 
 * language: rows that language ID rejects go (null texts, and texts without a letter); all others stay.
-* near_dups: of each group of near copies one row stays, that with the smallest id. Rows count each by itself, those
-  that repeat an id or have none too; of rows with the same id and text one stays.
+* near_dups: of each group of near copies (five-word shingles, likeness of 0.8 or more) one row stays, that with the
+  smallest id; of equal ids that with the smallest hash. Rows count each by itself, those that repeat an id or have
+  none too; of rows with the same id and text one stays, that with the smallest other columns (null first).
 * decontaminate: words that lie in a benchmark window are cut out of the text; a document of which less than
-  KEEP_SHARE of its words is left goes.
-* pii: each span of personal data is replaced by its kind in brackets.
-* pack: the documents' token ids, cut and packed into sequences.
+  KEEP_SHARE of its words is left goes. A null text has no words and stays null.
+* pii: each span of personal data is replaced by its kind in brackets; of overlapping spans the first names them all,
+  of those that start together the shorter, then the kind first in the alphabet. A null text stays null.
+* pack: the documents' token ids, cut and packed into sequences; a null text is an empty one.
+
+In decontaminate, pii and pack rows count each by itself: null ids, repeated ids and repeated rows give a row (or
+pieces) each. Columns beyond those of documents, whatever their names, are left out by every stage.
 """
 
 from __future__ import annotations
