@@ -14,7 +14,19 @@ from pyspark.sql.window import Window as W
 BLOCK_BYTES = 1 << 20
 
 
+#: Rows that go to a Python worker at once. Texts are read whole, so this bounds what a worker holds.
+BATCH_ROWS = 2500
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS; smaller ones stay as they are. It changes no result."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,6 +35,7 @@ def columns(df: DataFrame, **kinds: str) -> DataFrame:
 
     They are found by exact name and taken by place, so names that differ in case alone don't clash either.
     """
+    bound_batches(df.sparkSession)
     places = {c: i for i, c in reversed(list(enumerate(df.columns)))}
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[F.col(f"c{places[c]}").cast(k).alias(c) for c, k in kinds.items()])
 

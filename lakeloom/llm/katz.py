@@ -128,12 +128,20 @@ def sequences(tokens: Tokens, column):
 def count_words(batches):
     import pyarrow as pa
 
-    tokens = Tokens(BLANKS)
+    def summed(parts):
+        w, c = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c, pa.int64())], ["w", "c"])
+
+    tokens, parts, size = Tokens(BLANKS), [], 0
     for b in batches:
-        parts = [t for _, _, t, _, _ in sequences(tokens, b.column(0))]
-        if parts:
-            w, c = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c, pa.int64())], ["w", "c"])
+        for _, _, t, _, _ in sequences(tokens, b.column(0)):
+            parts.append(t)
+            size += len(t)
+            if size >= GROUP:
+                yield summed(parts)
+                parts, size = [], 0
+    if parts:
+        yield summed(parts)
 
 
 def after_start(x: np.ndarray, ends: np.ndarray, start) -> np.ndarray:
