@@ -42,7 +42,7 @@ class WordIds:
     found here and given to the tokenizer's BPE model; all others go through the whole tokenizer.
     """
 
-    def __init__(self, file: str, remember: int = 400_000):
+    def __init__(self, file: str, remember: int = 100_000):
         import os
         import re
         import struct
