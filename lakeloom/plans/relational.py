@@ -22,23 +22,22 @@ def _(s, d):
 
 @R.query("sel_proj", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem")
 def _(s, d):
-    return read(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("net"))
+    return select.run(read(s, d, "lineitem"), "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM S3Object")
 
 
 @R.query("sel_where", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24 AND l_returnflag IN ('A', 'R')")
 def _(s, d):
-    return read(s, d, "lineitem").where(F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24) & F.col("l_returnflag").isin("A", "R")).select("l_orderkey", "l_linenumber")
+    return select.run(read(s, d, "lineitem"), "SELECT l_orderkey, l_linenumber FROM S3Object WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24 AND l_returnflag IN ('A', 'R')")
 
 
 @R.query("sel_alias", "SELECT s.c_name AS name, s.c_acctbal AS balance FROM customer AS s WHERE s.c_acctbal < 0")
 def _(s, d):
-    t = read(s, d, "customer").alias("s")
-    return t.where(F.col("s.c_acctbal") < 0).select(F.col("s.c_name").alias("name"), F.col("s.c_acctbal").alias("balance"))
+    return select.run(read(s, d, "customer"), "SELECT s.c_name AS name, s.c_acctbal AS balance FROM S3Object AS s WHERE s.c_acctbal < 0")
 
 
 @R.query("sel_order_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25")
 def _(s, d):
-    return read(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc_nulls_last("o_totalprice"), "o_orderkey").limit(25)
+    return select.run(read(s, d, "orders"), "SELECT o_orderkey, o_totalprice FROM S3Object ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25")
 
 
 @R.query("sel_distinct", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
@@ -66,12 +65,13 @@ def _(s, d):
 
 @R.query("sel_coerce", "SELECT doc_id, source FROM documents WHERE try_cast(substr(source, 4) AS BIGINT) > 9")
 def _(s, d):
-    return read(s, d, "documents").where(F.substring("source", 4, 10).try_cast("bigint") > 9).select("doc_id", "source")
+    t = read(s, d, "documents").withColumn("number", F.expr("substr(source, 4)"))
+    return select.run(t, "SELECT doc_id, source FROM S3Object WHERE number > 9")
 
 
 @R.query("sel_intdiv", "SELECT o_orderkey, o_orderkey // 7 AS q, o_orderkey % 7 AS r FROM orders")
 def _(s, d):
-    return read(s, d, "orders").selectExpr("o_orderkey", "o_orderkey div 7 AS q", "o_orderkey % 7 AS r")
+    return select.run(read(s, d, "orders"), "SELECT o_orderkey, o_orderkey / 7 AS q, o_orderkey % 7 AS r FROM S3Object")
 
 
 @R.query("agg_group", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus")
@@ -82,7 +82,7 @@ def _(s, d):
 
 @R.query("agg_global", "SELECT count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(avg(o_totalprice), 4) AS mean FROM orders")
 def _(s, d):
-    return read(s, d, "orders").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    return select.run(read(s, d, "orders"), "SELECT count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(avg(o_totalprice), 4) AS mean FROM S3Object")
 
 
 @R.query("agg_distinct", "SELECT l_shipdate IS NULL AS none, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1")

@@ -69,7 +69,92 @@ def test_select_errors(spark, people, sql, kind):
     assert e.value.kind == kind
 
 
-def test_strings_hide_keywords():
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT 1",
+        "SELECT DISTINCT department, COUNT(DISTINCT name) FROM S3Object GROUP BY department",
+        "SELECT department, count(*) FROM S3Object GROUP BY ROLLUP(department)",
+        "SELECT department, count(*) FROM S3Object GROUP BY department WITH CUBE",
+        "SELECT b FROM S3Object s(b)",
+        "SELECT name FROM S3Object LIMIT 5 BY age",
+        "SELECT name FROM S3Object LIMIT 1 + 1",
+        "SELECT name FROM S3Object LIMIT 2, 3",
+        "SELECT name FROM S3Object LIMIT 5 OFFSET 3",
+        "SELECT * EXCLUDE (age) FROM S3Object",
+        "SELECT TOP 5 name FROM S3Object",
+        "SELECT name FROM S3Object FETCH FIRST 5 ROWS ONLY",
+        "SELECT name FROM S3Object QUALIFY row_number() OVER () = 1",
+        "SELECT name INTO t FROM S3Object",
+        "SELECT name FROM S3Object FORMAT JSON",
+        "SELECT name FROM S3Object SETTINGS x = 1",
+        "SELECT name FROM S3Object SORT BY name",
+        "SELECT name FROM S3Object DISTRIBUTE BY name",
+        "SELECT name FROM S3Object CLUSTER BY name",
+        "SELECT name FROM S3Object ORDER BY ALL",
+        "SELECT name FROM S3Object GROUP BY ALL",
+        "SELECT name FROM S3Object GROUP BY name HAVING count(*) > 1",
+        "SELECT sum(age) OVER w FROM S3Object WINDOW w AS (ORDER BY age)",
+        "SELECT name FROM S3Object TABLESAMPLE (2 ROWS)",
+        "SELECT name FROM S3Object TABLESAMPLE (50 PERCENT)",
+        "SELECT name FROM S3Object VERSION AS OF 1",
+        "SELECT id FROM range(3)",
+        "SELECT a FROM VALUES (1) t(a)",
+        "SELECT name FROM S3Object LATERAL VIEW explode(array(1)) t AS c",
+        "SELECT name FROM S3Object UNION SELECT name FROM S3Object",
+        "SELECT name FROM S3Object |> WHERE age > 3",
+        "SELECT /*+ REPARTITION(3) */ name FROM S3Object",
+        "SELECT name FROM S3Object ORDER BY (SELECT 1)",
+        "FROM S3Object SELECT name",
+        "WITH t AS (SELECT 1) SELECT * FROM t",
+    ],
+)
+def test_select_refuses(spark, sql):
+    with pytest.raises(select.SelectError) as e:
+        select.check(sql)
+    assert e.value.kind == "UnsupportedSqlStructure"
+
+
+@pytest.mark.parametrize("name", ["format", "top", "settings", "offset", "window", "values", "qualify", "fetch", "into"])
+def test_select_takes_columns_named_like_clauses(spark, name):
+    t = spark.createDataFrame([(1, "x"), (2, "y")], f"`{name}` int, b string")
+    got = select.run(t, f"SELECT {name}, b FROM S3Object s WHERE s.{name} > 1 ORDER BY {name} LIMIT 3").collect()
+    assert [tuple(r) for r in got] == [(2, "y")]
+
+
+def test_select_sources(spark):
+    for sql in ("SELECT * FROM a.b.c", "SELECT * FROM S3Object.a.b", "SELECT * FROM `s3object`", "SELECT * FROM other"):
+        with pytest.raises(select.SelectError) as e:
+            select.check(sql)
+        assert e.value.kind == "DataSourcePathUnsupported"
+    t = spark.createDataFrame([(1, "x")], "`a b` int, s string")
+    assert select.run(t, 'SELECT "a b" FROM "S3Object" WHERE s = \'x\';').first()[0] == 1
+
+
+def test_select_coerces_and_divides(spark):
+    t = spark.createDataFrame([("9", 7, 2.0), ("10", 8, 4.0), ("abc", 9, 8.0), (None, 1, 1.0)], "s string, i int, d double")
+    ids = lambda where: [r["i"] for r in select.run(t, f"SELECT i FROM S3Object o WHERE {where} ORDER BY i").collect()]
+    assert ids("s > 9") == [8] and ids("9.5 < o.s") == [8] and ids("s BETWEEN 9 AND 11") == [7, 8] and ids("s IN (9, 12)") == [7]
+    assert ids("s = '9'") == [7] and ids("s = 'abc' OR s = 10") == [8, 9]
+    row = select.run(t, "SELECT i / 2 AS a, i / 2 / 2 AS b, d / 2 AS c, d * i / 4 AS e, i / 2.0 AS f, 'i / 2' AS g FROM S3Object WHERE i = 7").first()
+    assert tuple(row)[:4] == (3, 1, 1.0, 3.5) and float(row["f"]) == 3.5 and row["g"] == "i / 2"
+
+
+def test_select_names_errors_of_actions(spark, people, tmp_path):
+    t = readers.csv(spark, people)
+    with pytest.raises(select.SelectError) as e, select.errors():
+        select.run(t, "SELECT CAST(name AS INT) FROM S3Object").collect()
+    assert e.value.kind == "InvalidDataType"
+    with pytest.raises(select.SelectError) as e, select.errors():
+        spark.read.parquet(str(tmp_path / "none"))
+    assert e.value.kind == "ObjectNotFound"
+    (tmp_path / "bad.parquet").write_bytes(b"no parquet at all")
+    with pytest.raises(select.SelectError) as e, select.errors():
+        select.run(spark.read.schema("a int").parquet(str(tmp_path / "bad.parquet")), "SELECT a FROM S3Object").collect()
+    assert e.value.kind == "ParquetParsingError"
+
+
+def test_strings_hide_keywords(spark):
     select.check("SELECT name FROM S3Object WHERE name = 'a JOIN b; UNION'")
 
 
