@@ -439,6 +439,43 @@ def test_chains_are_best():
             assert score(got[0]) <= best + 1e-9
 
 
+def test_best_chains_by_enumeration():
+    rng = random.Random(11)
+    for _ in range(300):
+        n = rng.randint(2, 8)
+        xs, ys = [rng.randint(0, 30) for _ in range(n)], [rng.randint(0, 30) for _ in range(n)]
+        best = {i: float(passages.K) for i in range(n)}
+        for m in range(1, 2**n):
+            c = sorted((i for i in range(n) if m >> i & 1), key=lambda i: xs[i])
+            if all(xs[i] < xs[j] and ys[i] < ys[j] for i, j in zip(c, c[1:])):
+                value = passages.K * len(c) - passages.GAP * (xs[c[-1]] - xs[c[0]] + ys[c[-1]] - ys[c[0]])
+                best[c[-1]] = max(best[c[-1]], value)
+        score, _ = passages.best_chains(sorted(range(n), key=lambda i: (xs[i], ys[i])), xs, ys)
+        assert all(abs(score[i] - best[i]) < 1e-9 for i in range(n))
+
+
+def test_chains_of_many_copies():
+    """400 copies of a passage in one text: each is a chain of its own, and all are found in a few passes."""
+    xs = [60 * copy + 7 * k for copy in range(400) for k in range(6)]
+    ys = [1000 + 7 * k for copy in range(400) for k in range(6)]
+    got = passages.chains(xs, ys, passages.LEAST_SCORE)
+    assert sorted(tuple(xs[i] for i in c) for c in got) == [tuple(60 * copy + 7 * k for k in range(6)) for copy in range(400)]
+    assert passages.chains([0, 12], [5, 17], passages.LEAST_SCORE) == [[0, 1]]  # two seeds a whole window apart
+
+
+def test_passages_of_all_places_and_of_the_centre(spark, tmp_path):
+    """A second copy in a document counts, and the first document that holds a passage is returned too."""
+    fresh = iter(range(10**6))
+    new = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    shared = new(60)
+    texts = [new(30) + shared + new(40), new(100) + shared + new(90) + shared + new(10), new(300), new(20) + shared]
+    got = passages.query(spark, write(tmp_path / "t", [(i, " ".join(w), "en", "s") for i, w in enumerate(texts)])).collect()
+    found = {(r["doc_id"], r["passage_start"], r["passage_end"]) for r in got}
+    assert found == {(0, 30, 90), (1, 100, 160), (1, 250, 310), (3, 20, 80)}
+    for r in got:
+        assert texts[r["doc_id"]][r["start"] : r["end"]] == texts[r["other_id"]][r["other_start"] : r["other_end"]]
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
