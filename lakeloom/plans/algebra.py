@@ -241,13 +241,13 @@ def _(s, d):
 
 @R.query("str_ema", "SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x: 0.1 * x + 0.9 * a), 8) AS ema FROM events GROUP BY 1")
 def _(s, d):
-    return rolling.fold(read(s, d, "events"), ["user_id"], ["ts", "event_id"], "value", *rolling.ema(0.1)).select("user_id", F.round("result", 8).alias("ema"))
+    return rolling.moving_average(read(s, d, "events"), ["user_id"], ["ts", "event_id"], "value", 0.1).select("user_id", F.round("result", 8).alias("ema"))
 
 
 @R.query("str_lat", "SELECT user_id, round(list_reduce(list_concat([0.0], list(value ORDER BY ts, event_id)), lambda a, x: (a + x) / 2), 8) AS latency, max(value) AS top, arg_max(value, (ts, event_id)) AS curr FROM events GROUP BY 1")
 def _(s, d):
     t = read(s, d, "events")
-    out = rolling.fold(t, ["user_id"], ["ts", "event_id"], "value", *rolling.latency())
+    out = rolling.moving_average(t, ["user_id"], ["ts", "event_id"], "value", 0.5, first=False)  # the first sample is halved
     more = t.groupBy("user_id").agg(F.max("value").alias("top"), F.max_by("value", F.struct("ts", "event_id")).alias("curr"))
     return out.join(more, "user_id").select("user_id", F.round("result", 8).alias("latency"), "top", "curr")
 
@@ -259,7 +259,7 @@ def _(s, d):
 
 @R.query("str_bw", "SELECT user_id, CASE WHEN r IS NULL OR r <= 0 THEN 'Unknown' WHEN r < 20 THEN 'Low' WHEN r < 60 THEN 'Medium' ELSE 'High' END AS tier FROM (SELECT user_id, list_reduce(list(value ORDER BY ts, event_id), lambda a, x: 0.5 * x + 0.5 * a) AS r FROM events WHERE value > 0 GROUP BY 1)")
 def _(s, d):
-    out = rolling.fold(read(s, d, "events").where("value > 0"), ["user_id"], ["ts", "event_id"], "value", *rolling.ema(0.5))
+    out = rolling.moving_average(read(s, d, "events").where("value > 0"), ["user_id"], ["ts", "event_id"], "value", 0.5)
     return out.select("user_id", rolling.tier(F.col("result"), 20, 60).alias("tier"))
 
 

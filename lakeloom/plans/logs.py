@@ -87,12 +87,16 @@ def _(s, d):
     return diagnose.evidence(log_events(s, d), RULES)
 
 
-@R.query("jn_causal", f"WITH f AS (SELECT rule, count(*) AS n, min(ts) AS a, max(ts) AS b FROM ({_HIT}) GROUP BY 1), e(root, symptom) AS (VALUES ('purchase-large', 'error-any'), ('view-user', 'purchase-large')) SELECT symptom, root FROM e JOIN f x ON x.rule = root JOIN f y ON y.rule = symptom WHERE x.a <= y.a + INTERVAL 5 MINUTE AND x.b >= y.a - INTERVAL 30 MINUTE")
+_CAUSAL = f"WITH f AS (SELECT rule, count(*) AS n, min(ts) AS a, max(ts) AS b FROM ({_HIT}) GROUP BY 1), e(root, symptom) AS (VALUES ('purchase-large', 'error-any'), ('view-user', 'purchase-large')) SELECT symptom, root FROM e JOIN f x ON x.rule = root JOIN f y ON y.rule = symptom WHERE x.a <= y.a + INTERVAL 5 MINUTE AND x.b >= y.a - INTERVAL 30 MINUTE"
+_CHAIN = f"WITH RECURSIVE c AS ({_CAUSAL}), up AS (SELECT symptom, root, 1 AS k FROM c UNION ALL SELECT up.symptom, c.root, k + 1 FROM up JOIN c ON c.symptom = up.root WHERE k < 9) SELECT symptom, arg_max(root, k) AS root FROM up GROUP BY 1"
+
+
+@R.query("jn_causal", _CAUSAL)
 def _(s, d):
     return diagnose.causes(diagnose.findings(log_events(s, d), RULES), RULES)
 
 
-@R.query("jn_causal_chain")
+@R.query("jn_causal_chain", _CHAIN)
 def _(s, d):
     return diagnose.final_roots(diagnose.causes(diagnose.findings(log_events(s, d), RULES), RULES))
 
@@ -102,7 +106,7 @@ def _(s, d):
     return diagnose.order_findings(diagnose.findings(log_events(s, d), RULES)).select("rule", "n")
 
 
-@R.query("srt_block")
+@R.query("srt_block", f"WITH f AS (SELECT rule, count(*) AS n, CASE rule WHEN 'error-any' THEN 0 WHEN 'purchase-large' THEN 1 ELSE 3 END AS severity FROM ({_HIT}) GROUP BY 1), t AS (SELECT coalesce(root, rule) AS root, f.* FROM f LEFT JOIN ({_CHAIN}) r ON r.symptom = f.rule) SELECT root, rule, min(severity) OVER w AS block_severity, (sum(n) OVER w)::BIGINT AS block_n FROM t WINDOW w AS (PARTITION BY root)")
 def _(s, d):
     found = diagnose.findings(log_events(s, d), RULES)
     return diagnose.blocks(found, diagnose.final_roots(diagnose.causes(found, RULES))).select("root", "rule", "block_severity", "block_n")

@@ -34,7 +34,7 @@ def _(s, d):
     return out.select("user_id", F.date_format("session_window.start", _FMT).alias("start"), "n")
 
 
-@R.query("str_watermark")
+@R.query("str_watermark", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2")
 def _(s, d):
     """Only windows that the watermark has closed are given; the last stay open."""
     out = streams.run(streams.tumbling(streams.events(s, d), "1 hour", "10 minutes"), "append", "watermark")
@@ -56,7 +56,7 @@ def _(s, d):
 
 @R.query("str_ema_live", "SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x: 0.1 * x + 0.9 * a), 8) AS ema, count(*) AS n FROM events GROUP BY 1")
 def _(s, d):
-    out = streams.run(streams.keyed_ema(streams.events(s, d), "user_id", "value", 0.1), "update", "ema")
+    out = streams.run(streams.keyed_ema(streams.events(s, d), "user_id", "value", 0.1), "update", "ema", ["user_id"])
     return out.select("user_id", F.round("ema", 8).alias("ema"), "n")
 
 
@@ -124,18 +124,21 @@ def _(s, d):
     return read(s, d, "region").select("r_name", readers.looks_binary(content).alias("bin"))
 
 
-@R.query("src_log", "SELECT r_name AS text FROM region")
+_LINE = "event_id long, event_type string"
+
+
+@R.query("src_log", "SELECT event_id, event_type FROM events")
 def _(s, d):
     at = _home(s, "logs")
-    read(s, d, "region").select("r_name").write.text(f"{at}/node1")
-    return readers.logs(s, at).where("node = 'node1'").select("text")
+    read(s, d, "events").select(F.to_json(F.struct("event_id", "event_type"))).write.text(f"{at}/node1")
+    return readers.logs(s, at).where("node = 'node1'").select(F.from_json("text", _LINE).alias("e")).select("e.*")
 
 
-@R.query("src_archive", "SELECT r_name AS text FROM region")
+@R.query("src_archive", "SELECT event_id, event_type FROM events")
 def _(s, d):
     at = _home(s, "arch")
-    read(s, d, "region").select("r_name").coalesce(1).write.option("compression", "gzip").text(f"{at}/node1")
-    return readers.archives(s, at).where("line > 0").select("text")
+    read(s, d, "events").select(F.to_json(F.struct("event_id", "event_type"))).write.option("compression", "gzip").text(f"{at}/node1")
+    return readers.archives(s, at).where("line > 0").select(F.from_json("text", _LINE).alias("e")).select("e.*")
 
 
 @R.query("src_ice_meta", "SELECT n_nationkey AS id, n_nationkey * 10 AS ms FROM nation")

@@ -68,63 +68,114 @@ def looks_binary(content: Column) -> Column:
     return nul * 100 > F.octet_length(F.substring(content, 1, 8192))
 
 
-def archives(spark: SparkSession, path: str, depth: int = 3, most_entries: int = 10_000, most_bytes: int = 1 << 30, most_line: int = 1 << 20) -> DataFrame:
+def archives(spark: SparkSession, path: str, depth: int = 3, most_entries: int = 10_000, most_bytes: int = 8 << 30, most_line: int = 1 << 20) -> DataFrame:
     """Lines of files and of the archives among them: (node, file, line, text). Provenance is joined by `!`.
 
-    Archives are known by their first bytes; each is opened in one task, as its format asks. Entries, bytes and depth
-    beyond the limits are left out of one archive and named in a row with line 0.
+    Archives (zip, tar, gzip and zstd of any number of members or frames) are known by their first bytes. Each is read as
+    a stream by one task, in blocks, and its lines leave in batches; only a zip inside another archive is held whole.
+    What is left out is named in a row with line 0: `limit reached` at the first entry, byte or level beyond the limits
+    of a file, `line N cut` for what a line has over most_line bytes, `binary`, and `unreadable` where a format is broken.
     """
 
     def expand(batches):
         import gzip
         import io
+        import itertools
         import tarfile
         import zipfile
+        import zlib
 
         import pandas as pd
         import zstandard
 
-        def walk(name, data, level, budget):
-            if level > depth or budget[0] <= 0 or budget[1] <= 0:
+        broken = (OSError, EOFError, zipfile.BadZipFile, tarfile.TarError, zstandard.ZstdError, zlib.error)
+
+        class Bounded(io.RawIOBase):
+            """A stream that ends where its file's budget of bytes does, and notes whether there was more."""
+
+            def __init__(self, inner, left):
+                self.inner, self.left = inner, left
+
+            def readable(self):
+                return True
+
+            def readinto(self, block):
+                got = self.inner.read(min(len(block), self.left["bytes"]) or 1)
+                if got and not self.left["bytes"]:
+                    self.left["over"] = True
+                    return 0
+                block[: len(got)] = got
+                self.left["bytes"] -= len(got)
+                return len(got)
+
+        def entry(left):
+            left["entries"] -= 1
+            left["over"] |= left["entries"] < 0
+
+        def lines(name, stream):
+            for n in itertools.count(1):
+                line = stream.readline(most_line + 1)
+                if not line:
+                    return
+                long = len(line) > most_line and not line.endswith(b"\n")
+                text = line.removesuffix(b"\n")[:most_line]
+                if text:
+                    yield name, n, text.decode("utf-8", "replace")
+                if long:
+                    yield name, 0, f"line {n} cut"
+                while long:
+                    rest = stream.readline(1 << 16)
+                    long = bool(rest) and not rest.endswith(b"\n")
+
+        def walk(name, inner, level, left):
+            if level > depth:
                 yield name, 0, "limit reached"
                 return
-            if data[:4] == b"PK\x03\x04":
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
+            stream = io.BufferedReader(Bounded(inner, left), 1 << 16)
+            head = stream.peek(8192)[:8192]
+            if head[:4] == b"PK\x03\x04":
+                with zipfile.ZipFile(io.BytesIO(stream.read())) as z:
                     for i in z.infolist():
                         if not i.is_dir():
-                            budget[0] -= 1
-                            budget[1] -= i.file_size
-                            if budget[0] < 0 or budget[1] < 0:
-                                yield f"{name}!{i.filename}", 0, "limit reached"
+                            entry(left)
+                            if left["over"]:
                                 return
-                            yield from walk(f"{name}!{i.filename}", z.read(i), level + 1, budget)
-            elif data[:2] == b"\x1f\x8b":
-                yield from walk(name, gzip.GzipFile(fileobj=io.BytesIO(data)).read(budget[1]), level + 1, budget)
-            elif data[:4] == b"\x28\xb5\x2f\xfd":
-                yield from walk(name, zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)).read(budget[1]), level + 1, budget)
-            elif data[257:262] == b"ustar":
-                with tarfile.open(fileobj=io.BytesIO(data)) as t:
+                            with z.open(i) as member:
+                                yield from walk(f"{name}!{i.filename}", member, level + 1, left)
+            elif head[:2] == b"\x1f\x8b":
+                yield from walk(name, gzip.GzipFile(fileobj=stream), level + 1, left)
+            elif head[:4] == b"\x28\xb5\x2f\xfd":
+                yield from walk(name, zstandard.ZstdDecompressor().stream_reader(stream, read_across_frames=True), level + 1, left)
+            elif head[257:262] == b"ustar":
+                with tarfile.open(fileobj=stream, mode="r|") as t:
                     for m in t:
                         if m.isfile():
-                            budget[0] -= 1
-                            budget[1] -= m.size
-                            if budget[0] < 0 or budget[1] < 0:
-                                yield f"{name}!{m.name}", 0, "limit reached"
+                            entry(left)
+                            if left["over"]:
                                 return
-                            yield from walk(f"{name}!{m.name}", t.extractfile(m).read(), level + 1, budget)
-            elif data[:8192].count(0) * 100 > len(data[:8192]):
+                            yield from walk(f"{name}!{m.name}", t.extractfile(m), level + 1, left)
+            elif head.count(0) * 100 > len(head):
                 yield name, 0, "binary"
             else:
-                for n, x in enumerate(data.split(b"\n"), 1):
-                    if x:
-                        yield name, n, x[:most_line].decode("utf-8", "replace")
+                yield from lines(name, stream)
+
+        def rows_of(path, content):
+            parts, left = path.split("/"), {"entries": most_entries, "bytes": most_bytes, "over": False}
+            node, name = parts[-2] if len(parts) > 1 else "", parts[-1]
+            try:
+                for r in walk(name, io.BytesIO(content), 0, left):
+                    yield node, *r
+            except broken as e:
+                if not left["over"]:  # a stream that ends early is broken by the limit
+                    yield node, name, 0, f"unreadable: {type(e).__name__}"
+            if left["over"]:
+                yield node, name, 0, "limit reached"
 
         for b in batches:
-            rows = []
             for p, content in zip(b["path"], b["content"]):
-                parts = p.split("/")
-                rows += [(parts[-2] if len(parts) > 1 else "", *r) for r in walk(parts[-1], bytes(content), 0, [most_entries, most_bytes])]
-            yield pd.DataFrame(rows, columns=["node", "file", "line", "text"])
+                rows = rows_of(p, content)
+                while part := list(itertools.islice(rows, 10_000)):
+                    yield pd.DataFrame(part, columns=["node", "file", "line", "text"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(expand, "node string, file string, line long, text string")

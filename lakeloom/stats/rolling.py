@@ -1,4 +1,4 @@
-"""Rolling counts, exponentially weighted averages, order statistics. Folds run over an explicit order."""
+"""Rolling counts, exponentially weighted averages, order statistics. Averages run over an explicit order."""
 
 from __future__ import annotations
 
@@ -13,21 +13,37 @@ def rolling(df: DataFrame, by: list[str], second: str, value: Column, width: int
     return df.withColumn("n", F.count("*").over(w)).withColumn("total", F.sum(value).over(w))
 
 
-def fold(df: DataFrame, by: list[str], order: list[str], value: str, start: Column, step, finish=None) -> DataFrame:
-    """An order-dependent fold of a key's values. A key's values are folded in one place, as their order asks."""
-    series = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))), lambda x: x["_v"])
-    out = F.aggregate("series", start, step, finish) if finish else F.aggregate("series", start, step)
-    return df.groupBy(*by).agg(series.alias("series")).select(*by, out.alias("result"))
+def moving_average(df: DataFrame, by: list[str], order: list[str], value: str, alpha: float, first: bool = True, spans: tuple[int, ...] = (60, 86400)) -> DataFrame:
+    """y <- alpha * x + (1 - alpha) * y from zero over each key's values in order (order[0] is a time), as `result`.
 
+    first: an average of zero takes its next sample whole; values are then not negative (rates, sizes, times), so that an
+    average is not zero again once it is set. Nulls are passed over; a key with nulls alone has zero.
 
-def ema(alpha: float):
-    """The first sample replaces an average of zero."""
-    return F.lit(0.0), lambda acc, x: F.when(acc == 0, x).otherwise(F.lit(alpha) * x + F.lit(1 - alpha) * acc)
-
-
-def latency():
-    """avg = (avg + x) / 2 from zero, so the first sample is halved; a true mean is avg()."""
-    return F.lit(0.0), lambda acc, x: (acc + x) / 2
+    Steps in a row make a map y -> a * y + b, beside s, what they make of zero. Rows are folded in slices of spans[0]
+    seconds, slices in those of the next span (a multiple), the last by key: no array holds more than one slice's rows or
+    one span's slices, whatever share of the rows a key has.
+    """
+    take, leave = F.lit(float(alpha)), F.lit(1.0 - alpha)
+
+    def step(acc, x):
+        v = x["_v"]
+        s = take * v + leave * acc["s"]
+        s = F.when(acc["s"] == 0, v).otherwise(s) if first else s
+        return F.when(v.isNull(), acc).otherwise(F.struct(s.alias("s"), (leave * acc["a"]).alias("a"), (take * v + leave * acc["b"]).alias("b")))
+
+    def after(acc, x):
+        m = x["_m"]
+        s = F.when(acc["s"] == 0, m["s"]).otherwise(m["a"] * acc["s"] + m["b"])
+        return F.struct(s.alias("s"), (m["a"] * acc["a"]).alias("a"), (m["a"] * acc["b"] + m["b"]).alias("b"))
+
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    series = lambda *c: F.array_sort(F.collect_list(F.struct(*c))).alias("_x")
+    slice_of = lambda at, span: (F.floor(at / span) * span).alias("_at")
+    rows = series(*order, F.col(value).cast("double").alias("_v"))
+    t = df.groupBy(*by, slice_of(F.unix_seconds(F.col(order[0]).cast("timestamp")), spans[0])).agg(rows).withColumn("_m", F.aggregate("_x", start, step))
+    for span in spans[1:]:
+        t = t.groupBy(*by, slice_of(F.col("_at"), span)).agg(series("_at", "_m")).withColumn("_m", F.aggregate("_x", start, after))
+    return t.groupBy(*by).agg(series("_at", "_m")).select(*by, F.aggregate("_x", start, after, lambda acc: acc["s"]).alias("result"))
 
 
 def tier(rate: Column, low: float, high: float) -> Column:

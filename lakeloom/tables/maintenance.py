@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 
@@ -58,18 +59,27 @@ def output_prefix(path: Column) -> Column:
 def pack_small_files(files: DataFrame, by: list[str], order: list[str], size: str, cap: int, least: int) -> DataFrame:
     """Next-fit: files of a prefix in order; a group closes when the next file would exceed the cap; small groups go.
 
-    The sum starts anew at each close, so it is a fold over a prefix's files (those of one partition of a table).
+    The sum starts anew at each close, so a prefix's files pass through one task in order, batch by batch, and nothing
+    but the open group's sum is carried. A null size counts as none.
     """
-    series = F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("size"))))
-    start = F.struct(F.lit(0).alias("g"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc, x):
-        fits = (acc["sum"] + x["size"] <= cap) | (acc["sum"] == 0)
-        g = F.when(fits, acc["g"]).otherwise(acc["g"] + 1)
-        return F.struct(g.alias("g"), F.when(fits, acc["sum"] + x["size"]).otherwise(x["size"]).alias("sum"), F.concat(acc["out"], F.array(g)).alias("out"))
-
-    t = files.groupBy(*by).agg(series.alias("f")).withColumn("g", F.aggregate("f", start, step, lambda acc: acc["out"]))
-    t = t.select(*by, F.explode(F.arrays_zip("f", "g")).alias("z")).select(*by, *[F.col(f"z.f.{o}").alias(o) for o in order], F.col("z.f.size").alias("size"), F.col("z.g").alias("pack"))
+    def walk(batches):
+        import pyarrow as pa
+
+        key, pack, total = None, 0, 0
+        for b in batches:
+            packs = []
+            for k, n in zip(zip(*[b.column(i).to_pylist() for i in range(len(by))]), b.column(len(by) + len(order)).to_pylist()):
+                if k != key:
+                    key, pack, total = k, 0, 0
+                elif total and total + n > cap:
+                    pack, total = pack + 1, 0
+                total += n
+                packs.append(pack)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(packs, pa.int32())], [*b.schema.names, "pack"])
+
+    t = files.select(*by, *order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"))
+    t = t.repartition(*by).sortWithinPartitions(*by, *order, "size").mapInArrow(walk, StructType([*t.schema.fields, StructField("pack", IntegerType())]))
     return t.withColumn("_n", F.count("*").over(W.partitionBy(*by, "pack"))).where(F.col("_n") >= least).drop("_n")
 
 

@@ -1,10 +1,12 @@
 """Fixed cases: the restricted SELECT, sources, rules, logs, and that the engine stands without its optional parts."""
 
+import collections
 import datetime
 import gzip
 import hashlib
 import io
 import json
+import random
 import subprocess
 import sys
 import tarfile
@@ -12,6 +14,7 @@ import zipfile
 from pathlib import Path
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lakeloom.logs import diagnose, parse, redact, report
@@ -19,6 +22,9 @@ from lakeloom.operators import pagination, select
 from lakeloom.rules import conditions as C
 from lakeloom.rules import objects as O
 from lakeloom.sources import readers, sinks
+from lakeloom.stats import rolling
+from lakeloom.streaming import streams
+from lakeloom.tables import maintenance
 from lakeloom.usage import rollup
 
 PEOPLE = "id,name,age,department,salary\n1,Ann,25,HR,05000\n2,Ben,30,IT,6000\n3,Cid,35,Sales,7000\n4,Dot,9,HR,5200\n"
@@ -185,6 +191,68 @@ def test_archives(spark, tmp_path):
     assert any(r["text"] == "limit reached" for r in readers.archives(spark, str(tmp_path), most_entries=0).collect())
 
 
+def test_archives_name_what_they_leave_out(spark, tmp_path):
+    zstd = zstandard.ZstdCompressor()
+    (tmp_path / "n1").mkdir()
+    (tmp_path / "n1" / "a.zst").write_bytes(zstd.compress(b"one\n") + zstd.compress(b"two\n"))
+    (tmp_path / "n1" / "b.gz").write_bytes(gzip.compress(b"x" * 50 + b"\nend\n") + gzip.compress(b"more"))
+    (tmp_path / "n1" / "c.gz").write_bytes(gzip.compress(b"cut short\n" * 1000)[:40])
+    rows = {(r["file"], r["line"], r["text"]) for r in readers.archives(spark, str(tmp_path), most_line=20).collect()}
+    assert {r for r in rows if r[0] == "a.zst"} == {("a.zst", 1, "one"), ("a.zst", 2, "two")}
+    assert {r for r in rows if r[0] == "b.gz"} == {("b.gz", 1, "x" * 20), ("b.gz", 0, "line 1 cut"), ("b.gz", 2, "end"), ("b.gz", 3, "more")}
+    assert any(r[0] == "c.gz" and r[2].startswith("unreadable") for r in rows)
+    (tmp_path / "n1" / "c.gz").write_bytes(b"plain\n" * 100)
+    short = readers.archives(spark, str(tmp_path), most_bytes=300).where("file = 'c.gz'").orderBy("line").collect()
+    assert [(r["line"], r["text"]) for r in short] == [(0, "limit reached"), *[(n, "plain") for n in range(1, 51)]]
+
+
+@pytest.mark.parametrize("alpha, first", [(0.1, True), (0.5, False)])
+def test_moving_average(spark, alpha, first):
+    """Against one step after another: keys of one sample and of many, leading zeros, nulls, ties of time, slices and spans crossed."""
+    draw = random.Random(5)
+    rows = [(k, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=draw.randrange(200 if k < 3 else 400_000)), i, draw.choice([0.0, None, *[draw.uniform(0, 9) for _ in range(4)]])) for i in range(2000) for k in [draw.choice([0, 1, 2, 2, 2, 2, 3, 4])]]
+    rows += [(7, rows[0][1], 0, 0.0), (7, rows[0][1], 1, 5.0), (8, rows[0][1], 0, None)]
+    want = {}
+    for k, _, _, x in sorted(rows, key=lambda r: r[:3]):
+        y = want.setdefault(k, 0.0)
+        if x is not None:
+            want[k] = x if first and y == 0 else alpha * x + (1 - alpha) * y
+    t = spark.createDataFrame(rows, "k int, at timestamp, id int, x double")
+    got = {r["k"]: r["result"] for r in rolling.moving_average(t, ["k"], ["at", "id"], "x", alpha, first).collect()}
+    assert got == pytest.approx(want)
+    assert rolling.moving_average(t.limit(0), ["k"], ["at", "id"], "x", alpha, first).count() == 0
+
+
+def test_next_fit(spark):
+    draw = random.Random(6)
+    rows = [(draw.choice("aaab") if i % 9 else None, i, draw.choice([0, None, 1, 5, 30, 99, 250])) for i in range(3000)]
+    want, state = set(), {}
+    for p, i, n in rows:
+        pack, total = state.get(p, (0, 0))
+        pack, total = (pack + 1, 0) if total and total + (n or 0) > 100 else (pack, total)
+        state[p] = (pack, total + (n or 0))
+        want.add((p, i, pack))
+    t = spark.createDataFrame(rows, "p string, i int, n int").repartition(7)
+    assert {(r["p"], r["i"], r["pack"]) for r in maintenance.pack_small_files(t, ["p"], ["i"], "n", 100, 1).collect()} == want
+    sizes = collections.Counter((p, pack) for p, _, pack in want)
+    assert maintenance.pack_small_files(t, ["p"], ["i"], "n", 100, 3).count() == sum(n for n in sizes.values() if n >= 3)
+
+
+def test_results_of_several_batches(spark, tmp_path):
+    """Complete results are those of the last batch; update results the last of each key."""
+    for k in range(3):
+        spark.range(4).selectExpr("id event_id", f"timestamp'2024-01-0{k + 1}' ts", "'view' event_type", "id % 2 user_id", "id + 1.0D value", "'{}' props").coalesce(1).write.parquet(str(tmp_path / "in" / f"events{k}.parquet"))
+    files = sorted((tmp_path / "in").glob("events*/part-*.parquet"))
+    (tmp_path / "flat").mkdir()
+    for k, f in enumerate(files):
+        f.rename(tmp_path / "flat" / f"events{k or ''}.parquet")
+    t = streams.events(spark, str(tmp_path / "flat"), most_bytes=1)
+    assert {r["n"] for r in streams.run(streams.tumbling(t, "1 day", "1 hour"), "complete").collect()} == {4}
+    assert streams.run(streams.tumbling(t, "1 day", "1 hour"), "complete").count() == 3
+    got = streams.run(streams.keyed_ema(t, "user_id", "value", 0.1), "update", by=["user_id"]).collect()
+    assert sorted((r["user_id"], r["n"]) for r in got) == [(0, 6), (1, 6)]
+
+
 def test_event_stream(spark):
     got = list(sinks.events(spark.range(5).coalesce(1), size=2))
     assert [k for k, _ in got] == ["Records", "Records", "Records", "End"] and json.loads(got[0][1][0]) == {"id": 0}
