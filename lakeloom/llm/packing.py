@@ -25,6 +25,8 @@ from pyspark.sql.window import Window as W
 from lakeloom.llm.common import columns, materialise, table
 
 WINDOW, END_ID, SALTS = 4096, 2, 1024
+#: Chunks, and words, whose ids a worker remembers; it changes time and memory, no result.
+REMEMBER = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -42,7 +44,7 @@ class WordIds:
     found here and given to the tokenizer's BPE model; all others go through the whole tokenizer.
     """
 
-    def __init__(self, file: str, remember: int = 400_000):
+    def __init__(self, file: str, remember: int = REMEMBER):
         import os
         import re
         import struct
@@ -88,7 +90,7 @@ class WordIds:
         return b"".join(out)
 
 
-def token_pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, file: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, file: str | None = None, remember: int = REMEMBER) -> DataFrame:
     """One row per piece: full windows and tails, with the checksum of their ids."""
     file = file or vocabulary_file()
 
@@ -97,7 +99,7 @@ def token_pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, fi
 
         import pyarrow as pa
 
-        ids_of, end = WordIds(file), np.array([end_id], "<u4").tobytes()
+        ids_of, end = WordIds(file, remember), np.array([end_id], "<u4").tobytes()
         for b in batches:
             out = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -187,10 +189,10 @@ def plan(counts: dict[int, int], window: int) -> tuple[list[tuple], int]:
     return entries, sequences
 
 
-def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, file: str | None = None, salts: int = SALTS) -> DataFrame:
+def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, file: str | None = None, salts: int = SALTS, remember: int = REMEMBER) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = materialise(token_pieces(docs, window, end_id, file), "pieces")
+    pieces = materialise(token_pieces(docs, window, end_id, file, remember), "pieces")
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
     units = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))  # at most window * salts rows
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
