@@ -78,9 +78,14 @@ def _(s, d):
     return read(s, d, "pages").select("page_id", C.key_glob(F.col("url"), "*/a*").alias("a"), C.key_glob(F.col("url"), "").alias("none"))
 
 
-@R.query("fn_event_mask", "SELECT unnest(['s3:ObjectRemoved:Delete', 's3:ObjectRemoved:DeleteMarkerCreated', 's3:ObjectAccessed:Get']) AS name")
+_NAMES = {"view": "s3:ObjectAccessed:Head", "click": "s3:ObjectAccessed:Get", "purchase": "s3:ObjectCreated:Put", "signup": "s3:ObjectTagging:Put", "error": "s3:ObjectRemoved:DeleteAllVersions"}
+
+
+@R.query("fn_event_mask", "SELECT event_id, bit, bit & (1 + 2 + 4 + 8 + 16 + 8192 + 16384 + 65536 + 2048) > 0 AS wanted FROM (SELECT event_id, (CASE event_type WHEN 'view' THEN 8 WHEN 'click' THEN 1 WHEN 'purchase' THEN 256 WHEN 'signup' THEN 2048 WHEN 'error' THEN 32768 END)::BIGINT AS bit FROM events)")
 def _(s, d):
-    return s.createDataFrame([(e,) for e in O.expand(["s3:ObjectRemoved:*", "s3:ObjectAccessed:Get"])], "name string")
+    bit = O.event_bit(F.element_at(F.create_map(*[F.lit(x) for kv in _NAMES.items() for x in kv]), F.col("event_type")))
+    wanted = O.event_mask(["s3:ObjectRemoved:*", "s3:ObjectAccessed:*", "s3:ObjectCreated:PutTagging"])
+    return read(s, d, "events").select("event_id", bit.alias("bit")).select("event_id", "bit", (F.col("bit").bitwiseAND(F.lit(wanted)) > 0).alias("wanted"))
 
 
 @R.query("fn_tags", "SELECT c_custkey, c_mktsegment AS env, 'a b' AS team FROM customer")

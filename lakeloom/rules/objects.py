@@ -111,11 +111,31 @@ def active_prefix(prefix: Column, rule_prefix: str, recursive: bool) -> Column:
 
 # ---------------------------------------------------------------- notification
 
-#: Event names by group; a group's name stands for all its members. Fixed values.
+#: Single event names in the order of their bits, the first is bit 0. Fixed values.
+EVENT_BITS = [
+    "s3:ObjectAccessed:Get", "s3:ObjectAccessed:GetRetention", "s3:ObjectAccessed:GetLegalHold", "s3:ObjectAccessed:Head", "s3:ObjectAccessed:Attributes",
+    "s3:ObjectCreated:CompleteMultipartUpload", "s3:ObjectCreated:Copy", "s3:ObjectCreated:Post", "s3:ObjectCreated:Put", "s3:ObjectCreated:PutRetention", "s3:ObjectCreated:PutLegalHold",
+    "s3:ObjectTagging:Put", "s3:ObjectTagging:Delete",
+    "s3:ObjectRemoved:Delete", "s3:ObjectRemoved:DeleteMarkerCreated", "s3:ObjectRemoved:DeleteAllVersions", "s3:ObjectRemoved:NoOP",
+    "s3:BucketCreated:*", "s3:BucketRemoved:*",
+    "s3:Replication:OperationFailedReplication", "s3:Replication:OperationCompletedReplication", "s3:Replication:OperationMissedThreshold", "s3:Replication:OperationReplicatedAfterThreshold", "s3:Replication:OperationNotTracked",
+    "s3:ObjectRestore:Post", "s3:ObjectRestore:Completed", "s3:ObjectTransition:Failed", "s3:ObjectTransition:Complete",
+    "s3:Scanner:ManyVersions", "s3:Scanner:LargeVersions", "s3:Scanner:BigPrefix", "s3:LifecycleDelMarkerExpiration:Delete",
+    "s3:ObjectAcl:Put", "s3:LifecycleExpiration:Delete", "s3:LifecycleExpiration:DeleteMarkerCreated", "s3:LifecycleTransition", "s3:IntelligentTiering",
+]
+#: Names that stand for others: all single names of their kind but those that are only asked for by name. Fixed values.
 EVENTS = {
-    "s3:ObjectCreated:*": ["s3:ObjectCreated:Put", "s3:ObjectCreated:Copy", "s3:ObjectCreated:Post", "s3:ObjectCreated:CompleteMultipartUpload"],
-    "s3:ObjectRemoved:*": ["s3:ObjectRemoved:Delete", "s3:ObjectRemoved:DeleteMarkerCreated"],
-    "s3:ObjectAccessed:*": ["s3:ObjectAccessed:Get", "s3:ObjectAccessed:Head"],
+    "s3:ObjectAccessed:*": ["s3:ObjectAccessed:Get", "s3:ObjectAccessed:Head", "s3:ObjectAccessed:GetRetention", "s3:ObjectAccessed:GetLegalHold", "s3:ObjectAccessed:Attributes"],
+    "s3:ObjectCreated:*": ["s3:ObjectCreated:CompleteMultipartUpload", "s3:ObjectCreated:Copy", "s3:ObjectCreated:Post", "s3:ObjectCreated:Put"],
+    "s3:ObjectTagging:*": ["s3:ObjectTagging:Put", "s3:ObjectTagging:Delete"],
+    "s3:ObjectRemoved:*": ["s3:ObjectRemoved:Delete", "s3:ObjectRemoved:DeleteMarkerCreated", "s3:ObjectRemoved:NoOP"],
+    "s3:Replication:*": ["s3:Replication:OperationFailedReplication", "s3:Replication:OperationCompletedReplication", "s3:Replication:OperationNotTracked", "s3:Replication:OperationMissedThreshold", "s3:Replication:OperationReplicatedAfterThreshold"],
+    "s3:ObjectRestore:*": ["s3:ObjectRestore:Post", "s3:ObjectRestore:Completed"],
+    "s3:LifecycleExpiration:*": ["s3:LifecycleExpiration:Delete", "s3:LifecycleExpiration:DeleteMarkerCreated"],
+    "s3:ObjectTransition:*": ["s3:ObjectTransition:Failed", "s3:ObjectTransition:Complete", "s3:LifecycleTransition"],
+    "s3:Scanner:*": ["s3:Scanner:ManyVersions", "s3:Scanner:LargeVersions", "s3:Scanner:BigPrefix"],
+    "s3:ObjectCreated:PutTagging": ["s3:ObjectTagging:Put"],
+    "s3:ObjectCreated:DeleteTagging": ["s3:ObjectTagging:Delete"],
 }
 
 
@@ -123,6 +143,16 @@ def expand(names: list[str]) -> list[str]:
     return [e for n in names for e in EVENTS.get(n, [n])]
 
 
+def event_bit(name: Column) -> Column:
+    """The bit of a single event name, or null for others."""
+    return F.element_at(F.create_map(*[F.lit(x) for k, e in enumerate(EVENT_BITS) for x in (e, 1 << k)]).cast("map<string,bigint>"), name)
+
+
+def event_mask(names: list[str]) -> int:
+    """The bits of the names together, each for itself or for those it stands for. Raises ValueError for unknown names."""
+    return sum(1 << k for k in {EVENT_BITS.index(e) for e in expand(names)})
+
+
 def route(events: DataFrame, event: str, key: str, subscriptions: list[dict]) -> DataFrame:
     """One row for each event and distinct target among the subscriptions that hold; works on streams too."""
     ok = [F.when(F.col(event).isin(*expand(s["events"])) & key_glob(F.col(key), s["pattern"]), F.lit(s["target"])) for s in subscriptions]

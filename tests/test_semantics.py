@@ -253,6 +253,18 @@ def test_results_of_several_batches(spark, tmp_path):
     assert sorted((r["user_id"], r["n"]) for r in got) == [(0, 6), (1, 6)]
 
 
+def test_event_names(spark):
+    assert len(O.EVENT_BITS) == len(set(O.EVENT_BITS)) == 37
+    assert O.event_mask(["s3:ObjectAccessed:*"]) == 0b11111 and O.event_mask(["s3:ObjectAccessed:Get", "s3:ObjectAccessed:*"]) == 0b11111
+    assert O.event_mask(["s3:ObjectRemoved:*"]) & O.event_mask(["s3:ObjectRemoved:DeleteAllVersions"]) == 0
+    assert O.event_mask(["s3:ObjectTransition:*"]) == (1 << 26) | (1 << 27) | (1 << 35)
+    assert all(e in O.EVENT_BITS for n in O.EVENTS for e in O.expand([n]))
+    with pytest.raises(ValueError):
+        O.event_mask(["s3:Nothing:*"])
+    bits = spark.createDataFrame([("s3:IntelligentTiering",), ("no",)], "n string").select(O.event_bit(F.col("n")).alias("b")).collect()
+    assert [r["b"] for r in bits] == [1 << 36, None]
+
+
 def test_event_stream(spark):
     got = list(sinks.events(spark.range(5).coalesce(1), size=2))
     assert [k for k, _ in got] == ["Records", "Records", "Records", "End"] and json.loads(got[0][1][0]) == {"id": 0}
