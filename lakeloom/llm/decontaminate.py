@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import PUNCTUATION, Tokens, carried, carried_schema, columns, table, with_carried
 
-WINDOW, SHARD_SYMBOLS, BLOCK_WINDOWS, BLOCKS_AT_ONCE, SAMPLE = 10, 1 << 20, 100_000, 8, 16
+WINDOW, SHARD_SYMBOLS, BLOCK_WINDOWS, BLOCKS_AT_ONCE, SAMPLE = 10, 1 << 18, 100_000, 8, 16
 FOUND = "n_words long, hits array<struct<a:int,b:int,byte_a:int,byte_b:int>>, items array<string>"
 
 
